@@ -2,7 +2,7 @@
 
 A vector is the sum of one codeword from each of ``BOOKS`` codebooks, which all have the
 full dimension.  Codebooks start as k-means of the residuals of a bounded sample and are
-then solved together by least squares; codes come from a beam search.  The index
+then refined together by least squares; codes come from a beam search.  The index
 holds codes and the norm of each sum.  Queries come in blocks of bounded size: tables of
 inner products are looked up by code for every vector, each task keeps the best
 ``RERANK`` for each query, and the best of all are ranked exactly, in double
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BOOKS = 8
+BOOKS = 24
 WORDS = 256
 SAMPLE = 8192
 BEAM = 4
-RERANK = 128
+RERANK = 256
 BLOCK = 2048
 TOP = 10
 
@@ -78,7 +78,7 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(book[codes[:, i]] for i, book in enumerate(books))
 
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, solves: int = 2, seed: int = 7) -> np.ndarray:
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6, solves: int = 2, sweeps: int = 3, seed: int = 7) -> np.ndarray:
     """Codebooks of shape (books, words, dimension)."""
     rng, x = np.random.default_rng(seed), x.astype(np.float32)
     k, rest, out = min(words, len(x)), x.copy(), []
@@ -95,15 +95,16 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6
     found = np.stack(out)
     for _ in range(solves):
         codes = np.concatenate([encode(x[i : i + 2048], found) for i in range(0, len(x), 2048)]).astype(np.int64)
-        at = codes + np.arange(books) * k
-        gram, target = np.zeros((books * k, books * k), np.float32), np.zeros((books * k, x.shape[1]), np.float32)
-        for i in range(books):
-            np.add.at(target, at[:, i], x)
-            for j in range(books):
-                np.add.at(gram, (at[:, i], at[:, j]), 1)
-        gram[np.diag_indices_from(gram)] += 0.05
-        solved = np.linalg.solve(gram, target + 0.05 * found.reshape(books * k, -1))
-        found = solved.reshape(found.shape).astype(np.float32)
+        rest = x - decode(codes, found)
+        for _ in range(sweeps):  # Gauss-Seidel on the joint least squares problem, a codebook at a time
+            for i in range(books):
+                part = codes[:, i]
+                n = np.bincount(part, minlength=k)[:, None]
+                total = np.zeros_like(found[i])
+                np.add.at(total, part, rest)
+                step = total / np.maximum(n, 1)
+                rest -= step[part]
+                found[i] += step
     return found
 
 
