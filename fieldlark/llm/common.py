@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
+#: Texts of Latin letters and common punctuation, whose lower case and classes are the same in every library.
+PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞€]*")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -20,11 +20,13 @@ documents that repeat are packed each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -32,50 +34,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import PLAIN, cut, text_or_empty
 
 SIZE = 1024
 END = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary as ranks of byte strings.
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SALTS = 64
-#: Words a worker remembers before it starts anew.
-CACHE = 500_000
-_DOUBLE = re.compile(r"\s \s|^ | $")
+_BLANK = re.compile(r"\s{64}")
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit integers.
 
-    Where a single space stands between other characters the pre-tokenizer always
-    cuts before it, so such texts are encoded word by word from a cache; other texts,
-    and those with a special token's string, go to the library whole.
+    The ids are those of the tokenizers library.  Texts of Latin letters and common
+    punctuation, without very long words and runs of white space, go through tiktoken, which
+    gives the same ids from the same vocabulary at a third of the cost; all others, and
+    those with a special token's string, go to the library.
     """
 
-    def __init__(self, path: str = VOCABULARY) -> None:
+    def __init__(self, path: str = VOCABULARY, ranks: str = RANKS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
-        self.words: dict[str, bytes] = {}
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if not text or _DOUBLE.search(text) or any(s in text for s in self.special):
+        if not PLAIN.fullmatch(text) or _BLANK.search(text) or max(map(len, text.split()), default=0) > 1000 or any(s in text for s in self.special):
             return self.whole(text)
-        words = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else None
-        if words is None:
-            return self.whole(text)
-        known = self.words
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)))
-        return b"".join(map(known.__getitem__, words))
+        return np.asarray(self.fast.encode_to_numpy(text), "<u4").tobytes()
+
+
+@cache
+def encoder(path: str, ranks: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path, ranks)
 
 
 def cuts(total: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -84,11 +86,11 @@ def cuts(total: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, min(first, total))] + [(at, size) for at in range(first, total, size)]
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, size: int = SIZE, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY, ranks: str = RANKS, size: int = SIZE, end: int = END) -> DataFrame:
     """key, piece, start, length and ids_crc32 of every piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, tail = Encoder(path), np.array([end], "<u4").tobytes()
+        enc, tail = encoder(path, ranks), np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(batch.column(1)):
