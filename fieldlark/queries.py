@@ -265,11 +265,11 @@ def unlinked_grouped(store: Store) -> DataFrame:
 
 
 @query("""WITH asked AS (SELECT s.name AS species, q.id AS question_id, q.text AS question_text FROM v_species s JOIN v_species_questions sq ON sq.species_id = s.id JOIN v_questions q ON q.id = sq.question_id),
-r AS (SELECT asked.*, a.id AS answer_id, a.answer_text, a.reason, l.url, a.context, strpos(lower(a.context), lower(species)) - 1 AS at, length(a.context) AS n
+r AS (SELECT asked.*, a.id AS answer_id, a.answer_text, a.reason, l.url, a.context, strpos(lower(a.context), lower(species)) - 1 AS pos_, length(a.context) AS n
  FROM asked JOIN v_answers a ON a.question_id = asked.question_id JOIN v_question_links ql ON ql.id = a.question_link_id JOIN v_links l ON l.id = a.link_id),
-c AS (SELECT *, greatest(at - 40, 0) AS b, least(at + 40, n) AS e FROM r)
+c AS (SELECT *, greatest(pos_ - 40, 0) AS b, least(pos_ + 40, n) AS e FROM r)
 SELECT species, replace(question_text, species, '[species]') AS question, answer_text AS answer, reason, '' AS evidence, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
- CASE WHEN at >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(context, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(context, 1, 80) END AS context_example, answer_id, question_id FROM c
+ CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(context, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(context, 1, 80) END AS context_example, answer_id, question_id FROM c
 UNION ALL SELECT species, replace(question_text, species, '[species]'), 'none', 'no links found in search', 'n/a', NULL, NULL, NULL, NULL, question_id FROM asked WHERE question_id NOT IN (SELECT question_id FROM v_question_links)""")
 def qna_report(store: Store) -> DataFrame:
     return traits.report(store)
@@ -457,8 +457,8 @@ def context_windows_sql(store: Store) -> DataFrame:
     return merge_intervals(store.raw("events").select("user_id", at.alias("start"), (at + 200).alias("end")), "user_id")
 
 
-@query("""WITH r AS (SELECT doc_id, text, strpos(lower(text), 'the') - 1 AS at, length(text) AS n FROM documents), c AS (SELECT *, greatest(at - 40, 0) AS b, least(at + 40, n) AS e FROM r)
-SELECT doc_id, CASE WHEN at >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(text, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(text, 1, 80) END AS example FROM c""")
+@query("""WITH r AS (SELECT doc_id, text, strpos(lower(text), 'the') - 1 AS pos_, length(text) AS n FROM documents), c AS (SELECT *, greatest(pos_ - 40, 0) AS b, least(pos_ + 40, n) AS e FROM r)
+SELECT doc_id, CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(text, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(text, 1, 80) END AS example FROM c""")
 def context_preview(store: Store) -> DataFrame:
     return store.raw("documents").select("doc_id", traits.snippet(F.col("text"), F.lit("the")).alias("example"))
 
@@ -619,7 +619,7 @@ def eo_mask(store: Store) -> DataFrame:
     return _rounded(raster.evaluate(store.request, _pixels(store), parse("years_mean(-1,0)"), mask=mask))
 
 
-@query("""SELECT pixel_id, ts, round(value * 0.5, 6) AS half, round(value - 273.15, 6) AS shifted, CASE WHEN label IN (1, 2) THEN 1.0 ELSE 0.0 END AS indicator FROM v_raster WHERE dataset_id = 'DS_R'""")
+@query("""SELECT pixel_id, ts, round(value * 0.5, 6) AS half, round(value - 273.15, 6) AS shifted, CAST(CASE WHEN label IN (1, 2) THEN 1 ELSE 0 END AS DOUBLE) AS indicator FROM v_raster WHERE dataset_id = 'DS_R'""")
 def eo_pixel_transform(store: Store) -> DataFrame:
     v = F.col("value")
     return _pixels(store).select(
