@@ -2,7 +2,7 @@
 
 Numbers, names and units are replaced by typed placeholders; windows of ``WINDOW``
 tokens over whole texts are hashed and hash-joined with the windows of the
-benchmark, then compared as text.  A pair of document and item counts when the
+benchmark, then compared token by token.  A pair of document and item counts when the
 matched windows cover ``COVER`` of the item's, and the fillers of its slots are
 consistent: on one alignment, a filler of the item always stands for the same filler
 in the document (``CONSISTENT`` of them at least).  So an item is found when it is
@@ -37,53 +37,55 @@ CONSISTENT = 0.8
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|feet|ft|inch(?:es)?|lbs?|pounds?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|meters?|metres?|liters?|litres?|grams?|kilograms?"
 _M = "\x01"
 _NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
-_NAME = r"(?<=[^.!?\s\x01][ ])\p{Lu}\p{L}++"
+_NAME = r"\p{Lu}(?<=[^.!?\s\x01][ ]\p{Lu})\p{L}++"
 _UNIT = rf"(?<=\x01d.{{1,24}}[ ])(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
-_BETWEEN = r"(?:(?!(?<=\p{N})[.,](?=\p{N}))[^\p{L}\p{N}\x01])++"
+_BETWEEN = r"[^\p{L}\p{N}\x01]+"
+#: The same, but for a point or comma within a number.
+_BETWEEN_NUMBERS = r"(?:(?!(?<=\p{N})[.,](?=\p{N}))[^\p{L}\p{N}\x01])++"
 
 
-def tokens(text: Column, names: bool = True) -> tuple[Column, Column]:
-    """Arrays of canonical tokens and, place for place, of the raw ones."""
-    raw = F.translate(text, _M + "\x02", "  ")
-    numbers = F.regexp_replace(raw, _NUMBER, _M + "d$0")
-    raw = F.when(raw.rlike(r"\p{N}"), F.regexp_replace(numbers, _UNIT, _M + "u$0")).otherwise(raw)
-    if names:
-        raw = F.regexp_replace(raw, _NAME, _M + "n$0")
-    raw = F.lower(raw)
-    typed = F.regexp_replace(raw, r"(\x01[dnu])(?:[\p{L}\p{N}]|[.,](?=\p{N}))++", "$1")
+def with_tokens(df: DataFrame, text: str, names: bool = True) -> DataFrame:
+    """``df`` with arrays of canonical tokens ``w`` and, place for place, of the raw ones ``r``; ``r`` is null if both are equal.
 
-    def parts(x: Column) -> Column:
-        return F.array_remove(F.split(x, _BETWEEN, -1), "")
-
-    return parts(typed), parts(raw)
-
-
-def _joined(words: Column, at: Column, size: int) -> Column:
-    return F.array_join(F.slice(words, at, size), " ")
+    Each step is a projection of its own, so that no pattern runs twice.  Most texts have no
+    number and many no placeholder at all; these skip the patterns and the second split.
+    """
+    x = F.col("__x")
+    rows = df.withColumn("__x", F.translate(text_or_empty(text), _M + "\x02", "  "))
+    marked = F.regexp_replace(F.regexp_replace(x, _NUMBER, _M + "d$0"), _UNIT, _M + "u$0")
+    rows = rows.withColumn("__x", F.when(x.rlike(r"\p{N}"), marked).otherwise(x))
+    rows = rows.withColumn("__x", F.lower(F.regexp_replace(x, _NAME, _M + "n$0") if names else x))
+    rows = rows.withColumn("__has", F.contains(x, F.lit(_M)))
+    typed = F.regexp_replace(x, r"(\x01[dnu])(?:[\p{L}\p{N}]|[.,](?=\p{N}))++", "$1")
+    split = F.when(F.col("__has"), F.split(typed, _BETWEEN_NUMBERS, -1)).otherwise(F.split(x, _BETWEEN, -1))
+    raw = F.when(F.col("__has"), F.array_remove(F.split(x, _BETWEEN_NUMBERS, -1), ""))
+    return rows.withColumn("w", F.array_remove(split, "")).withColumn("r", raw).drop("__x", "__has")
 
 
 def _windows(df: DataFrame, key: str, text: str, size: int, names: bool, out: str) -> DataFrame:
-    typed, raw = tokens(text_or_empty(text), names)
-    words = df.select(F.col(key).alias(out), typed.alias("w"), raw.alias("r"))
-    at = F.sequence(F.lit(1), F.size("w") - size + 1)
-    return words.where(F.size("w") >= size).select(out, "w", "r", F.explode(at).alias("p"))
+    """Windows as places ``p`` in the arrays ``w`` and ``r``, with the hash of their tokens."""
+    words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text", names).select(out, "w", "r")
+    # a text shorter than a window has one that fits no full window; a filter here would be pushed below the steps and repeat them
+    at = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
+    rows = words.select(out, "w", "r", F.explode(at).alias("p"))
+    return rows.select(out, "w", "r", "p", F.xxhash64(F.slice("w", F.col("p"), size)).alias("hash"))
 
 
 def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dict[int, tuple[DataFrame, int]]:
     """By window length, the index (item_id, ip, item window, hash) and its number of rows."""
     out: dict[int, tuple[DataFrame, int]] = {}
-    plain, _ = tokens(text_or_empty(text), False)
-    lengths = benchmark.select(F.least(F.size(plain), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
+    plain = with_tokens(benchmark.select(F.col(text).alias("__text")), "__text", False)
+    lengths = plain.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
     for size in sorted(r[0] for r in lengths.collect()):  # five numbers at most
         forms = []
         for names in (True, False):
             w = _windows(benchmark, key, text, size, names, "item_id")
-            if size < WINDOW:
-                w = w.where(F.size("w") == size)
+            w = w.where((F.size("w") == size) if size < WINDOW else (F.size("w") >= size))
             literal = F.size(F.filter(F.slice("w", F.col("p"), size), lambda t: ~t.startswith(_M)))
             w = w.where(literal >= LITERAL)
-            forms.append(w.select("item_id", F.col("p").alias("ip"), _joined(F.col("w"), F.col("p"), size).alias("iw"), F.slice("r", F.col("p"), size).alias("ir")))
-        both = forms[0].unionByName(forms[1]).dropDuplicates(["item_id", "ip", "iw"]).withColumn("hash", F.xxhash64("iw"))
+            own = F.coalesce("r", "w")
+            forms.append(w.select("item_id", F.col("p").alias("ip"), F.slice("w", F.col("p"), size).alias("iw"), F.slice(own, F.col("p"), size).alias("ir"), "hash"))
+        both = forms[0].unionByName(forms[1]).dropDuplicates(["item_id", "ip", "iw"])
         out[size] = (both, both.count())
     return out
 
@@ -92,10 +94,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """Matched windows: doc_id, item_id, ip, p and the slots' fillers (item's, document's)."""
     found = None
     for size, (items, n) in index(benchmark).items():
-        w = _windows(docs, key, text, size, True, "doc_id").withColumn("dw", _joined(F.col("w"), F.col("p"), size))
-        w = w.select("doc_id", "p", "dw", "r", F.xxhash64("dw").alias("hash"))
-        same = w.join(small_or_not(items, n, 400), "hash").where("dw = iw")
-        pair = F.zip_with("ir", F.slice("r", F.col("p"), size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+        w = _windows(docs, key, text, size, True, "doc_id")
+        same = w.join(small_or_not(items, n, 800), "hash").where(F.slice("w", F.col("p"), size) == F.col("iw"))
+        pair = F.zip_with("ir", F.slice(F.coalesce("r", "w"), F.col("p"), size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
         slots = F.filter(pair, lambda s: s["doc"].startswith(_M))
         one = same.select("doc_id", "item_id", "ip", "p", slots.alias("slots"))
         found = one if found is None else found.union(one)
@@ -107,8 +108,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, slots_consistent (a share) of the pairs that count."""
     got = hits(docs, benchmark, key, text)
-    plain, _ = tokens(text_or_empty("text"), False)
-    total = benchmark.select("item_id", F.greatest(F.size(plain) - WINDOW + 1, F.lit(1)).alias("of")).groupBy("item_id").agg(F.max("of").alias("of"))
+    plain = with_tokens(benchmark.select("item_id", F.col("text").alias("__text")), "__text", False)
+    total = plain.select("item_id", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("of")).groupBy("item_id").agg(F.max("of").alias("of"))
     each = got.groupBy("doc_id", "item_id", (F.col("p") - F.col("ip")).alias("shift")).agg(
         F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     # one alignment has as many windows as the item has at most
