@@ -177,7 +177,11 @@ def dry_run(expanded: DataFrame, species: DataFrame, questions: DataFrame, mappi
 
 
 def get_or_create(have: DataFrame, wanted: DataFrame, key: str, update: str | None = None) -> DataFrame:
-    """``have`` with new keys appended (ids count on from the largest) and ``update`` replaced where it is given."""
+    """``have`` with new keys appended (ids count on from the largest) and ``update`` replaced where it is given.
+
+    The new keys of one insert are numbered in one task: they are a hand-written list.
+    """
+    columns = have.columns
     wanted = wanted.dropDuplicates([key])
     top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     fresh = wanted.join(have.select(key), key, "left_anti").crossJoin(F.broadcast(top))
@@ -185,7 +189,7 @@ def get_or_create(have: DataFrame, wanted: DataFrame, key: str, update: str | No
     if update:
         changed = wanted.select(key, F.col(update).alias("__new"))
         have = have.join(changed, key, "left").withColumn(update, F.coalesce("__new", update)).drop("__new")
-    return have.unionByName(fresh.select(*have.columns))
+    return have.select(*columns).unionByName(fresh.select(*columns))
 
 
 def set_validity(content: DataFrame, verdicts: DataFrame) -> DataFrame:

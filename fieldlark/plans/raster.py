@@ -98,13 +98,14 @@ def within_radius(points: DataFrame, pixels: DataFrame, radius_m: float) -> Data
     step = max(radius_m / 111_000.0, 1e-4)
     band = F.floor((F.col("lat") + 90) / step)
 
-    def edge_lat(b: Column) -> Column:
-        """Latitude of the band's edge that is nearer to a pole."""
-        return F.least(F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90)), F.lit(89.9))
+    delta = radius_m / EARTH_M
 
     def cells(b: Column) -> Column:
-        """Number of cells of a band, each at least a radius wide at its narrowest."""
-        return F.greatest(F.floor(360 * F.cos(F.radians(edge_lat(b))) / step), F.lit(1))
+        """Number of cells of a band: each as wide as the reach of a circle around a point in a band beside it."""
+        far = F.greatest(F.abs(b * step - 90), F.abs((b + 1) * step - 90)) + step
+        reach = F.degrees(F.asin(F.least(F.sin(F.lit(delta)) / F.cos(F.radians(F.least(far, F.lit(89.9)))), F.lit(1.0))))
+        polar = (far + step >= 89.9) | F.lit(delta >= 1.5)
+        return F.when(polar, F.lit(1).cast("long")).otherwise(F.greatest(F.floor(360 / reach), F.lit(1)))
 
     px = pixels.withColumn("band", band)
     px = px.withColumn("cell", F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * cells(F.col("band"))))
