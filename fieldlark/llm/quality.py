@@ -132,25 +132,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else None
 
 
-def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` and ``score``, one row for each row of ``docs``."""
+def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Columns ``keep`` and ``out``, the score, one row for each row of ``docs``."""
     keep = keep if keep is not None else docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else np.zeros(1 << BITS, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, make = shared.value.astype(np.float64), Features()
         for batch in batches:
-            out = np.empty(batch.num_rows)
+            total = np.empty(batch.num_rows)
             for i, t in enumerate(batch.column(batch.num_columns - 1)):
                 idx = make.of(t.as_py())
-                out[i] = w[idx].sum() / np.sqrt(len(idx))
-            scores = pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, "score"])
+                total[i] = w[idx].sum() / np.sqrt(len(idx))
+            scores = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     given = docs.select(*keep)
-    schema = StructType([*given.schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*given.schema.fields, StructField(out, DoubleType())])
     return docs.select(*keep, text_or_empty(text).alias("__t")).mapInArrow(run, schema)
 
 
