@@ -23,7 +23,7 @@ from fieldlark.llm.common import read
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(~quality.held_out())
     weights = quality.fit(docs, labels)
-    return quality.score(docs, weights, keep=[*docs.columns]).where("score >= 0.5").drop("score")
+    return quality.score(docs, weights, keep=docs.columns, out="__score").where("__score >= 0.5").drop("__score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
