@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
 Features of a text are the hashed n-grams of its tokens, each counted once:
-words (1- and 2-grams), word shapes (1- to 3-grams) and repeats of one of the
-last two words.  A score is the logistic function of a sparse dot product with
+words (1- and 2-grams), word shapes (1- to 3-grams) and the share of bigrams, and of
+skip-bigrams, that repeat a word, in steps.  A score is the logistic function of a sparse dot product with
 the weights, divided by the root of the number of features.
 
 Training reads a bounded sample: ``max_rows`` labelled rows at most, the first
@@ -36,6 +36,10 @@ MAX_ROWS = 6000
 MAX_FEATURES = 12_000_000
 #: Distinct words a worker remembers before it starts anew.
 CACHE = 200_000
+#: As many repeats as a short text has by chance do not count.
+CHANCE = 2
+#: Shares of words equal to the last, or the last but one; each that is reached is a feature.
+REPEATS = (0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5)
 _WORDS = re.compile(r"\n|[^\s]+")
 
 
@@ -69,12 +73,12 @@ class Features:
         mix = np.uint32(0x9E3779B1)
         with np.errstate(over="ignore"):
             s2 = s[1:] * mix + s[:-1]
-            repeats = np.array([7_777_777, 8_888_888], np.uint32)
-            got = [
-                np.zeros(1, np.uint32), w, s, w[1:] * mix + w[:-1], s2, s2[1:] * mix + s[:-2],
-                repeats[: int((w[1:] == w[:-1]).mean() > 0.1) if len(w) > 1 else 0],
-                repeats[1 : 1 + int((w[2:] == w[:-2]).mean() > 0.2)] if len(w) > 2 else repeats[:0],
-            ]
+            got = [np.zeros(1, np.uint32), w, s, w[1:] * mix + w[:-1], s2, s2[1:] * mix + s[:-2]]
+        for lag in (1, 2):
+            if len(w) > lag:
+                share = (np.count_nonzero(w[lag:] == w[:-lag]) - CHANCE) / len(w)
+                level = int(np.searchsorted(REPEATS, share, "right"))
+                got.append(np.arange(level, dtype=np.uint32) + np.uint32(7_777_777 * lag))
         all_ = np.concatenate(got)
         all_ ^= all_ >> np.uint32(15)
         seen = np.zeros(int(MASK) + 1, bool) if len(all_) > 20_000 else None
