@@ -32,6 +32,15 @@ def small_or_not(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone``; a null key stays.
+
+    The keys are counted: texts are only shuffled when the keys are too many to broadcast.
+    """
+    keys = cut(gone.select(key).distinct())
+    return docs.join(small_or_not(keys, keys.count(), 64), key, "left_anti").select(*docs.columns)
+
+
 def text_or_empty(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

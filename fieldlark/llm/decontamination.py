@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_not, text_or_empty
+from .common import small_or_not, text_or_empty, without
 
 WINDOW = 8
 LITERAL = 4
@@ -126,5 +126,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without contaminated ones; a null key stays."""
-    gone = contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, benchmark, key, text).select(F.col("doc_id").alias(key)), key)

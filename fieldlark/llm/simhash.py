@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, text_or_empty
+from .common import cut, text_or_empty, without
 from .components import components
 
 SEED = 42
@@ -174,5 +174,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows whose key is not the smallest of their component; a null key stays."""
     found = near_duplicates(docs, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return without(docs, found.where(F.col(key) != F.col("component_id")), key)
