@@ -14,16 +14,17 @@ BROADCAST_BYTES = 32 << 20
 PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞€]*")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named or tempfile.mkdtemp(prefix="shared-")
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

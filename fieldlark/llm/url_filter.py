@@ -41,8 +41,8 @@ def host_and_path(url: str | Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    rows = [(h, p, h + p, v) for v, h, p in rules]
-    return spark.createDataFrame(rows, "host string, path string, rule string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict")) for v, h, p in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def _key(host: Column, path: Column) -> Column:
