@@ -23,7 +23,7 @@ def searchable_values(store: Store) -> DataFrame:
     covariate's distinct values and not with its rows.
     """
     defn = store.covariate_defn.where("queryable and search_by_unique").select(F.col("id_key").alias("covariate_defn_id"), "name")
-    pairs = store.covariate_value.join(F.broadcast(defn), "covariate_defn_id").select("name", "value").distinct()
+    pairs = store.covariate_value.join(defn, "covariate_defn_id").select("name", "value").distinct()
     return pairs.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
@@ -60,7 +60,7 @@ def usable(value: Column) -> Column:
 def unique_value_summary(store: Store) -> DataFrame:
     """name and value: numbers count as ``true``, texts in lower case; distinct."""
     defn = store.covariate_defn.select(F.col("id_key").alias("covariate_defn_id"), "name")
-    rows = store.covariate_value.where(usable(F.col("value"))).join(F.broadcast(defn), "covariate_defn_id")
+    rows = store.covariate_value.where(usable(F.col("value"))).join(defn, "covariate_defn_id")
     value = F.when(F.col("value").try_cast("double").isNotNull(), "true").otherwise(F.lower("value"))
     return rows.select("name", value.alias("value")).distinct()
 
@@ -79,5 +79,5 @@ def update_covariates(defn: DataFrame, changes: DataFrame) -> DataFrame:
     """The definitions with the non-null fields of ``changes`` (by id_key) put in."""
     fields = [c for c in changes.columns if c != "id_key"]
     new = changes.select("id_key", *(F.col(c).alias(f"__{c}") for c in fields))
-    joined = defn.join(F.broadcast(new), "id_key", "left")
+    joined = defn.join(new, "id_key", "left")
     return joined.select("id_key", *(F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in defn.columns if c != "id_key"))

@@ -21,7 +21,7 @@ def pivot_covariates(store: Store, owner: str, names: Sequence[str]) -> DataFram
     One aggregation over all names: no job is needed to find the columns.
     """
     defn = store.covariate_defn.where(F.col("name").isin(list(names))).select(F.col("id_key").alias("covariate_defn_id"), "name")
-    rows = store.covariate_value.where(F.col(owner).isNotNull()).join(F.broadcast(defn), "covariate_defn_id")
+    rows = store.covariate_value.where(F.col(owner).isNotNull()).join(defn, "covariate_defn_id")
     last = [F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("id_key"))).alias(n) for n in names]
     return rows.groupBy(owner).agg(*last) if last else rows.select(owner).distinct()
 

@@ -66,6 +66,7 @@ def parse_expanded(lines: DataFrame) -> DataFrame:
 
 def species_questions(species: DataFrame, scopes: DataFrame) -> DataFrame:
     """Every species with every scoped question; ``scopes`` is the short list that is broadcast."""
+    # a hand-written list; each row meets each by definition
     return species.crossJoin(F.broadcast(scopes)).withColumn("question_formatted", F.replace("question_body", F.lit("[species]"), F.col("species")))
 
 
@@ -227,3 +228,23 @@ def answer_scope(questions: DataFrame, results: DataFrame, pages: DataFrame) ->
 
 def scrub_page(page: Column, cap: int = 8000) -> Column:
     return F.substring(T.html_text_simple(page), 1, cap)
+
+
+def paired(df: DataFrame, keys: list[str], answers: str, results: str) -> DataFrame:
+    """keys and the answers with the results at their places, of two array columns."""
+    zipped = F.arrays_zip(F.col(answers).alias("answer"), F.col(results).alias("result"))
+    return df.select(*keys, F.inline(zipped).alias("answer", "result"))
+
+
+def ingest_metrics(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Numbers of pages with content and without: blank ones and those that begin with ``Error:`` are not ok."""
+    bad = F.col(text).isNull() | (F.trim(text) == "") | F.col(text).startswith("Error:")
+    return pages.agg(F.count_if(~bad).alias("ok"), F.count_if(bad).alias("err"))
+
+
+def insert_outcome(have: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
+    """How many wanted rows are new, change a value, or change nothing."""
+    old = have.select(F.col(key), F.col(value).alias("__old"), F.lit(True).alias("__there"))
+    both = wanted.dropDuplicates([key]).join(old, key, "left")
+    there, same = F.col("__there").isNotNull(), F.col(value).eqNullSafe(F.col("__old"))
+    return both.agg(F.count_if(~there).alias("inserted"), F.count_if(there & ~same).alias("updated"), F.count_if(there & same).alias("skipped"))

@@ -54,7 +54,7 @@ def in_windows(pixels: DataFrame, years: DataFrame, span: tuple[int, int], days:
         return pixels.limit(0).select("*", F.lit(0).alias("request_year"), F.lit(0).alias("year"))
     outer = window_table(years.sparkSession.createDataFrame([(int(low),), (int(high),)], "year int"), span, days).agg(F.min("start"), F.max("end")).first()
     near = pixels.where((F.col("ts") >= F.lit(outer[0])) & (F.col("ts") < F.lit(outer[1]))).withColumn("calendar", F.year("ts"))
-    table = F.broadcast(window_table(years, span, days))
+    table = F.broadcast(window_table(years, span, days))  # a few rows for each distinct calendar year
     return near.join(table, "calendar").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).drop("calendar", "start", "end")
 
 

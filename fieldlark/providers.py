@@ -5,6 +5,8 @@ A provider maps columns to a column, so it can be a built-in expression or a Pan
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -53,3 +55,19 @@ def search_links(questions: DataFrame, search: SearchProvider) -> DataFrame:
             yield pd.DataFrame(rows, columns=["question_id", "url", "title"])
 
     return questions.select("question_id", "keyword_phrase").mapInPandas(run, "question_id long, url string, title string")
+
+
+def with_retries(call: Callable[[str], Iterable[dict]], tries: int = 5, longest: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> SearchProvider:
+    """``call`` again after failures of the network, with waits that double up to ``longest`` and some jitter."""
+
+    def run(query: str) -> Iterable[dict]:
+        for attempt in range(tries):
+            try:
+                return call(query)
+            except OSError:
+                if attempt == tries - 1:
+                    raise
+                sleep(min(2.0**attempt, longest) + random.uniform(0, 0.5))
+        return []
+
+    return run

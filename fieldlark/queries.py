@@ -540,6 +540,35 @@ def stream_content_dedup(store: Store) -> DataFrame:
     return dedup_contents(store.raw("documents").select("doc_id", "text")).select("content_hash")
 
 
+@query("""SELECT user_id, unnest(list(event_type ORDER BY event_id)) AS answer, unnest(list(props ORDER BY event_id)) AS result FROM events GROUP BY user_id""")
+def positional_join(store: Store) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type", "props")))
+    lists = store.raw("events").groupBy("user_id").agg(ordered.alias("l"))
+    arrays = lists.select("user_id", F.transform("l", lambda x: x["event_type"]).alias("a"), F.transform("l", lambda x: x["props"]).alias("r"))
+    return traits.paired(arrays, ["user_id"], "a", "r")
+
+
+@query("SELECT count(*) FILTER (doc_id % 10 > 0 AND trim(text) <> '') AS ok, count(*) FILTER (doc_id % 10 = 0 OR trim(text) = '') AS err FROM documents")
+def ingest_metrics(store: Store) -> DataFrame:
+    return traits.ingest_metrics(store.raw("documents").select(F.when(F.col("doc_id") % 10 == 0, "Error: timeout").otherwise(F.col("text")).alias("text")))
+
+
+@query("""SELECT (SELECT count(*) FROM v_questions) AS inserted, (SELECT count(*) FROM v_questions WHERE id % 2 = 0) AS updated, (SELECT count(*) FROM v_questions WHERE id % 2 = 1) AS skipped""")
+def insert_outcome(store: Store) -> DataFrame:
+    q = store.questions
+    changed = q.select("text", F.when(F.col("id") % 2 == 0, F.concat("keyword_phrase", F.lit("!"))).otherwise(F.col("keyword_phrase")).alias("keyword_phrase"))
+    return traits.insert_outcome(q, changed.union(q.select(F.concat("text", F.lit("?")), "keyword_phrase")), "text", "keyword_phrase")
+
+
+@query(r"""SELECT page_id, replace(replace(url, '/', chr(10)), chr(10), '<br>' || chr(10)) AS br, CASE WHEN contains(url, '2') THEN '"' || replace(url, '2', ',') || '"' ELSE replace(url, '2', ',') END AS quoted,
+regexp_replace(regexp_replace(regexp_replace(replace(url, ' ', ''), '[,.();\\/]', '_', 'g'), '_+', '_', 'g'), '_nan', '', 'g') AS scrubbed, trim(regexp_replace(url || '.', '[\\/:*?"<>|]', '_', 'g'), '.') AS filename, md5(url) AS cache_key FROM pages""")
+def name_functions(store: Store) -> DataFrame:
+    u = F.col("url")
+    return store.raw("pages").select(
+        "page_id", T.nl2br(F.translate(u, "/", "\n")).alias("br"), T.quoted_if_needed(F.translate(u, "2", ",")).alias("quoted"), T.scrub_key(u).alias("scrubbed"),
+        T.safe_filename(F.concat(u, F.lit("."))).alias("filename"), T.cache_key(u).alias("cache_key"))
+
+
 # -- rasters at points -------------------------------------------------------------------
 
 _WIN = "SELECT DISTINCT r.year AS ry, y.y FROM v_request r, (SELECT unnest(range(-10, 10)) AS d) k, LATERAL (SELECT r.year + k.d AS y) y WHERE k.d BETWEEN {a} AND {b}"

@@ -11,7 +11,7 @@ from fieldlark.functions.replies import UNREADABLE, first_object, repair
 from fieldlark.functions.windows import context_windows
 from fieldlark.operators.traits import expand_templates, get_or_create, new_contents, parse_expanded, snippet, upsert_links
 from fieldlark.plans import raster
-from fieldlark.providers import PagedSearch
+from fieldlark.providers import PagedSearch, search_links, with_retries
 from fieldlark.sources import datasets
 
 
@@ -142,3 +142,25 @@ def test_paged_search():
     pages = {1: [{"url": str(i)} for i in range(10)], 11: [{"url": "x"}]}
     search = PagedSearch(lambda q, start: pages.get(start, []))
     assert len(search("q", 30)) == 11 and len(search("q", 4)) == 4
+
+
+def test_retries(spark):
+    calls, waits = [], []
+
+    def flaky(q):
+        calls.append(q)
+        if len(calls) < 3:
+            raise OSError
+        return [{"url": "u"}]
+
+    assert with_retries(flaky, sleep=waits.append)("q") == [{"url": "u"}] and len(waits) == 2 and waits[1] >= 2
+    with pytest.raises(OSError):
+        with_retries(open, tries=1)("/nowhere")
+    asked = spark.createDataFrame([(1, "a"), (2, "fail")], "question_id long, keyword_phrase string")
+
+    def search(k):
+        if k == "fail":
+            raise OSError
+        return [{"url": f"http://{k}", "title": None}]
+
+    assert [tuple(r) for r in search_links(asked, search).collect()] == [(1, "http://a", None)]
