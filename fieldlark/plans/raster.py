@@ -143,6 +143,10 @@ def evaluate(requests: DataFrame, pixels: DataFrame, steps: Sequence[Step], tran
             now = reduce_by(now, keys, step.stat, step.top)
         else:
             radius = step.span[0]
+            if radius <= 0 and step is steps[-1] and len(steps) > 1 and not spatial:
+                # one value for each pixel and request year: the requests take it without another aggregation
+                one = now.select("pixel_id", "request_year", (F.col("value") * 0 if step.stat == "sd" else F.col("value")).alias("value"))
+                return keyed.select("row_id", "pixel_id", "request_year").join(one, ["pixel_id", "request_year"], "left").select("row_id", "value")
             places = keyed.select("row_id", "request_year", "pixel_id")
             if radius > 0:
                 points = keyed.select("row_id", "latitude", "longitude")
