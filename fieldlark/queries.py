@@ -341,7 +341,7 @@ def fetch_error_update(store: Store) -> DataFrame:
     return mutate.set_fetch_error(store.links, errors).select("id", "url", "content_id", "fetch_error")
 
 
-@query("SELECT c.id, CASE WHEN c.is_valid IS NOT NULL THEN c.is_valid WHEN c.id % 3 = 0 THEN NULL ELSE c.id % 2 END AS is_valid FROM v_content c")
+@query("SELECT c.id, CASE WHEN c.is_valid IS NOT NULL THEN c.is_valid WHEN c.id % 3 = 0 THEN NULL ELSE CAST(c.id % 2 AS INT) END AS is_valid FROM v_content c")
 def validity_update(store: Store) -> DataFrame:
     verdicts = store.content.select("id", F.when(F.col("id") % 3 == 0, "error").otherwise((F.col("id") % 2).cast("string")).alias("verdict"))
     return traits.set_validity(store.content, verdicts).select("id", "is_valid")
