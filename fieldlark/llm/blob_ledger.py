@@ -6,9 +6,10 @@ a rule of that version has seen a blob; a run scans only the pairs of blob and
 rule version that the ledger lacks, and joins the findings, old and new, back
 to all paths.
 
-Shuffles: the distinct blobs (their text once, copies are merged before the
-shuffle), and the narrow table of paths for the last join, whose hot keys
-adaptive execution can split.
+Shuffles: on a first run the distinct blobs (their text once, copies are merged before
+the shuffle); with a ledger the ids come first, and only texts of unseen blobs move as long as
+their counted ids can be broadcast.  The last join moves the narrow table of paths, whose
+hot keys adaptive execution can split.
 
 Defined cases: null text is the empty text; an empty table gives no rows; rows
 that repeat are kept, each with its findings; extra columns of the input are not
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import span_digest, text_or_empty
+from .common import cut, small_or_not, span_digest, text_or_empty
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob_id string, rule string, version int, spans {SPANS}"
@@ -85,16 +86,17 @@ def paths_of(versions: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New scans: blob_id, pending (the rules run), spans.  Blobs that every rule version has seen do not come up."""
-    blobs = versions.select(F.sha2(text_or_empty(text), 256).alias("blob_id"), text_or_empty(text).alias("blob")).dropDuplicates(["blob_id"])
     every = F.array(*(F.lit(r.kind) for r in rules))
+    blobs = versions.select(F.sha2(text_or_empty(text), 256).alias("blob_id"), text_or_empty(text).alias("blob"))
     if ledger is None:
-        blobs = blobs.select("blob_id", "blob", every.alias("pending"))
+        blobs = blobs.dropDuplicates(["blob_id"]).withColumn("pending", every)
     else:
         current = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
         seen = F.concat_ws("@", "rule", F.col("version").cast("string"))
         done = ledger.where(F.array_contains(current, seen)).groupBy("blob_id").agg(F.collect_set("rule").alias("done"))
         left = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
-        blobs = blobs.join(done, "blob_id", "left").select("blob_id", "blob", left.alias("pending")).where(F.size("pending") > 0)
+        unseen = cut(blobs.select("blob_id").distinct().join(done, "blob_id", "left").select("blob_id", left.alias("pending")).where(F.size("pending") > 0))
+        blobs = blobs.join(small_or_not(unseen, unseen.count(), 300), "blob_id").dropDuplicates(["blob_id"])
     return blobs.select("blob_id", "blob", "pending").mapInArrow(_scanner(rules), f"blob_id string, pending array<string>, spans {SPANS}")
 
 
