@@ -41,7 +41,9 @@ END = 2
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks of byte strings.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Salted groups of a length class: so many, or one for every ``SALT_ROWS`` pieces if that is more.
 SALTS = 64
+SALT_ROWS = 1_000_000
 _BLANK = re.compile(r"\s{64}")
 
 
@@ -154,10 +156,11 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return out
 
 
-def pack(parts: DataFrame, keys: list[str], size: int = SIZE, salts: int = SALTS) -> DataFrame:
+def pack(parts: DataFrame, keys: list[str], size: int = SIZE, salts: int | None = None) -> DataFrame:
     """``parts`` with sequence_id and offset.  ``keys`` name the pieces; pieces equal in all columns may change places."""
     spark = parts.sparkSession
     parts = cut(parts)
+    salts = salts or max(SALTS, parts.count() // SALT_ROWS)
     salted = parts.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
     groups = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")))
     counts = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("__n")).collect()}  # ``size`` rows at most

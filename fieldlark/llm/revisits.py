@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from .url_filter import host_and_path
 
 CHUNKS = 256
+CHUNK_ROWS = 100_000
 #: Headers that a response with status 304 may carry to update a stored one (fixed values, RFC 9110).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 HEADERS = "array<struct<name:string,value:string>>"
@@ -36,13 +37,14 @@ def canonical(url: str | Column) -> Column:
     return F.when(whole != "", whole)
 
 
-def latest_earlier(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+def latest_earlier(records: DataFrame, chunks: int | None = None) -> DataFrame:
     """``records`` with ``stored``: the latest response with the same ``target`` and a smaller ``ts``, or null.
 
     Columns: id, target, ts (long), full (boolean), and any others; those of the
     response are in the struct ``stored``.
     """
-    low, high = records.agg(F.min("ts"), F.max("ts")).first()
+    low, high, n = records.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    chunks = chunks or max(CHUNKS, n // CHUNK_ROWS)
     width = max(1, ((high or 0) - (low or 0)) // chunks + 1)
     fields = [c for c in records.columns if c not in ("target", "ts", "id", "full")]
     whole = F.struct("ts", "id", *fields)
@@ -67,7 +69,7 @@ def merged(stored: Column, sent: Column) -> Column:
     return F.array_sort(F.concat(F.filter(stored, lambda h: ~F.array_contains(names, h["name"]) & h["value"].isNotNull()), update))
 
 
-def resolve(records: DataFrame, chunks: int = CHUNKS) -> DataFrame:
+def resolve(records: DataFrame, chunks: int | None = None) -> DataFrame:
     """id, target, ts, status, response_id, payload_digest, payload_length, headers for each record.
 
     ``records``: id, target, ts, full, etag, last_modified, headers, payload_digest, payload_length.
