@@ -24,10 +24,15 @@ ELLIPSIS = "..."
 
 
 def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(text, F.lit(p))
-    return out
+    """Whether a text holds one of the phrases; the text is evaluated once, not once for each phrase."""
+
+    def any_of(t: Column) -> Column:
+        out = F.contains(t, F.lit(phrases[0]))
+        for p in phrases[1:]:
+            out = out | F.contains(t, F.lit(p))
+        return out
+
+    return F.exists(F.array(text), any_of)
 
 
 def one_line(text: Column) -> Column:

@@ -134,29 +134,28 @@ def evaluate(requests: DataFrame, pixels: DataFrame, steps: Sequence[Step], tran
     if mask is not None:
         now = now.join(mask, ["pixel_id", "request_year"]).withColumn("value", F.col("value") * F.col("mask"))
     keyed = requests.select("row_id", "latitude", "longitude", F.col("year").cast("int").alias("request_year"), "pixel_id")
-    spatial = False
-    for step in steps:
+    place = ["pixel_id", "request_year"]
+    for i, step in enumerate(steps):
         if step.kind == "julian":
-            now = reduce_by(now, ["pixel_id", "request_year", "year"], step.stat, step.top)
+            now = reduce_by(now, [*place, "year"], step.stat, step.top)
         elif step.kind == "years":
-            keys = ["row_id"] if spatial else ["pixel_id", "request_year"]
-            now = reduce_by(now, keys, step.stat, step.top)
+            now = reduce_by(now, place, step.stat, step.top)
         else:
-            radius = step.span[0]
-            if radius <= 0 and step is steps[-1] and len(steps) > 1 and not spatial:
-                # one value for each pixel and request year: the requests take it without another aggregation
-                one = now.select("pixel_id", "request_year", (F.col("value") * 0 if step.stat == "sd" else F.col("value")).alias("value"))
-                return keyed.select("row_id", "pixel_id", "request_year").join(one, ["pixel_id", "request_year"], "left").select("row_id", "value")
-            places = keyed.select("row_id", "request_year", "pixel_id")
+            radius, last = step.span[0], i == len(steps) - 1
             if radius > 0:
-                points = keyed.select("row_id", "latitude", "longitude")
-                places = within_radius(points, locations, radius).join(keyed.select("row_id", "request_year"), "row_id")
-            now = now.join(places, ["pixel_id", "request_year"])
-            later = steps[steps.index(step) + 1 :]
-            extra = [c for c in ("year", "ts") if c in now.columns and later]
-            now = reduce_by(now, ["row_id", *extra], step.stat, step.top)
-            spatial = True
-    return requests.select("row_id").join(now.select("row_id", "value"), "row_id", "left")
+                # equal places share one circle and one value
+                points = keyed.select("latitude", "longitude").distinct().select(F.struct("latitude", "longitude").alias("row_id"), "latitude", "longitude")
+                near = within_radius(points, locations, radius).select("row_id.latitude", "row_id.longitude", "pixel_id")
+                asked = keyed.select("latitude", "longitude", "request_year").distinct()
+                now = now.join(near, "pixel_id").join(asked, ["latitude", "longitude", "request_year"], "left_semi")
+                place = ["latitude", "longitude", "request_year"]
+            elif last and i:
+                # one value for each pixel and request year
+                now = now.withColumn("value", F.col("value") * 0) if step.stat == "sd" else now
+                break
+            kept = [c for c in ("year", "ts") if c in now.columns and not last]
+            now = reduce_by(now, [*place, *kept], step.stat, step.top)
+    return keyed.join(now.select(*place, "value"), place, "left").select("row_id", "value")
 
 
 def outside_guard(year: Column, value: Column, span: tuple[int, int], first: int, last: int, relaxed: bool = False) -> Column:
