@@ -147,9 +147,10 @@ def redact(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
 
     Columns stay as they are, but for ``text`` and, if there is one, ``n_chars``.  A null text stays null.
     """
-    found = findings(scan_unseen(docs, text, ledger, rules), ledger, rules).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    found = cut(findings(scan_unseen(docs, text, ledger, rules), ledger, rules).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")))
+    size = found.agg(F.coalesce(F.sum(F.size("__spans") * 64 + 100), F.lit(0))).first()[0]
     keyed = docs.withColumn("__blob", F.sha2(text_or_empty(text), 256))
-    joined = keyed.join(found, "__blob", "left")
+    joined = keyed.join(small_or_not(found, 1, size), "__blob", "left")  # texts are only shuffled when the findings are too many to broadcast
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -25,8 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import text_or_empty
 
@@ -139,24 +140,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """Columns ``keep`` and ``out``, the score, one row for each row of ``docs``."""
     keep = keep if keep is not None else docs.columns
+    sent = keep if text in keep else [*keep, text]
+    at = sent.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else np.zeros(1 << BITS, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, make = shared.value.astype(np.float64), Features()
         for batch in batches:
             total = np.empty(batch.num_rows)
-            for i, t in enumerate(batch.column(batch.num_columns - 1)):
-                idx = make.of(t.as_py())
+            for i, t in enumerate(batch.column(at)):
+                idx = make.of(t.as_py() or "")
                 total[i] = w[idx].sum() / np.sqrt(len(idx))
             scores = pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, out])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(out, DoubleType())])
+    return docs.select(*sent).mapInArrow(run, schema)
 
-    given = docs.select(*keep)
-    schema = StructType([*given.schema.fields, StructField(out, DoubleType())])
-    return docs.select(*keep, text_or_empty(text).alias("__t")).mapInArrow(run, schema)
 
-
-def held_out(key: str = "doc_id"):
+def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
