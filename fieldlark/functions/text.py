@@ -20,6 +20,11 @@ ERROR_PATTERNS = (
 #: Phrases of a soft block (fixed values).
 SOFT_BLOCKS = ("temporarily unavailable", "just a moment", "verify you are a human", "are you a human", "access denied", "rate limit", "unusual traffic")
 MIN_CONTENT = 40
+#: Patterns of the plain-text stage, in order of use (fixed values).
+BLOCK_TAGS = r"(?i)</?(?:p|div|br|li|h[1-6]|tr|th|td)\b[^>]*>"
+ANY_TAG = r"(?s)<[^>]+>"
+BLANKS = r"[ \t\f\x0B]+"
+BLANK_LINES = r"\n\s*\n+"
 ELLIPSIS = "..."
 
 
@@ -68,13 +73,11 @@ def strip_markup(page: Column) -> Column:
     t = page
     for tag in ("script", "style", "noscript"):
         t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    t = F.regexp_replace(t, r"(?i)</?(?:p|div|br|li|h[1-6]|tr|th|td)\b[^>]*>", "\n")
-    return F.regexp_replace(t, r"(?s)<[^>]+>", " ")
+    return F.regexp_replace(F.regexp_replace(t, BLOCK_TAGS, "\n"), ANY_TAG, " ")
 
 
 def tidy_space(text: Column) -> Column:
-    t = F.regexp_replace(text, r"[ \t\f\x0B]+", " ")
-    t = F.regexp_replace(t, r"\n\s*\n+", "\n\n")
+    t = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), BLANK_LINES, "\n\n")
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
 
@@ -95,7 +98,7 @@ def html_text_simple(page: Column) -> Column:
     t = page
     for tag in ("script", "style"):
         t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?s)<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, ANY_TAG, " "), r"\s+", " "))
 
 
 def ascii_only(text: Column) -> Column:

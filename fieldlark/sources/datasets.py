@@ -73,18 +73,24 @@ def mask_class(code: Column, section: str) -> Column:
     return F.when(matches(code, row[6]), "natural").when(matches(code, row[5]), "cultivated")
 
 
+#: What a catalog page looks like (fixed values): dates, snippet, cadence and the two ways to give a resolution.
+PAGE_DATES = r"(?s)Dataset Availability.*?(\d{4}-\d{2}-\d{2})T.*?(\d{4}-\d{2}-\d{2})T"
+PAGE_SNIPPET = r'(?s)Earth Engine Snippet.*?ee\.(ImageCollection|Image)\("([^"]+)"\)'
+PAGE_CADENCE = r"(?s)Cadence.*?\b(Year|Month|Day)\b"
+PAGE_PIXEL = r"(?s)Pixel Size.*?(\d+) meters"
+PAGE_RESOLUTION = r"(?s)<p>\s*<b>Resolution</b>\s*<br>\s*([\d,]+)\s*meters"
+
+
 def parse_catalog_page(page: Column) -> list[Column]:
     """start_date, end_date, dataset_type, dataset_id, temporal_resolution and nominal_scale of a catalog page."""
-    dates = r"(?s)Dataset Availability.*?(\d{4}-\d{2}-\d{2})T.*?(\d{4}-\d{2}-\d{2})T"
-    snippet = r'(?s)Earth Engine Snippet.*?ee\.(ImageCollection|Image)\("([^"]+)"\)'
-    cadence = F.regexp_extract(page, r"(?s)Cadence.*?\b(Year|Month|Day)\b", 1)
 
-    def found(pattern: str, group: int) -> Column:
+    def found(pattern: str, group: int = 1) -> Column:
         return F.nullif(F.regexp_extract(page, pattern, group), F.lit(""))
 
-    scale = F.coalesce(found(r"(?s)Pixel Size.*?(\d+) meters", 1), F.replace(found(r"(?s)<p>\s*<b>Resolution</b>\s*<br>\s*([\d,]+)\s*meters", 1), F.lit(","), F.lit("")))
-    resolution = F.when(cadence == "Year", "years").when(cadence != "", "julian")
+    cadence = found(PAGE_CADENCE)
+    scale = F.coalesce(found(PAGE_PIXEL), F.replace(found(PAGE_RESOLUTION), F.lit(","), F.lit("")))
+    resolution = F.when(cadence == "Year", "years").when(cadence.isNotNull(), "julian")
     return [
-        found(dates, 1).alias("start_date"), found(dates, 2).alias("end_date"), found(snippet, 1).alias("dataset_type"), found(snippet, 2).alias("dataset_id"),
+        found(PAGE_DATES, 1).alias("start_date"), found(PAGE_DATES, 2).alias("end_date"), found(PAGE_SNIPPET, 1).alias("dataset_type"), found(PAGE_SNIPPET, 2).alias("dataset_id"),
         resolution.alias("temporal_resolution"), scale.cast("int").alias("nominal_scale"),
     ]
