@@ -351,6 +351,13 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, items.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_a_part_of_a_long_item_counts(spark):
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)]
+    docs = spark.createDataFrame([(0, "x y " + " ".join(words[40:53]) + " z"), (1, "x y " + " ".join(words[40:52]) + " z")], "doc_id long, text string")
+    got = {r.doc_id for r in decontamination.contaminated(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {0}
+
+
 def test_slots_must_be_consistent(spark):
     item = "Add 3 to the sum of 3 and 9 then take 3 away from the sum of 9 and 3 again"
     same, mixed = item.replace("3", "5").replace("9", "2"), "Add 1 to the sum of 2 and 3 then take 4 away from the sum of 5 and 6 again"
