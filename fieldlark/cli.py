@@ -54,8 +54,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
         lists = {n: files.read_list(spark, getattr(a, n)).select(F.col("value").alias("name")) for n in traits.PLACEHOLDERS if getattr(a, n)}
         files.write_lines(traits.expanded_line(traits.expand_templates(files.read_list(spark, a.templates), lists)), a.out)
     elif a.command == "spell":
-        names = files.read_list(spark, a.names).select(F.col("value").alias("name"))
-        files.write_lines(traits.fix_spelling(names, files.read_corrections(spark, a.corrections)).select(F.col("fixed").alias("value")), a.out)
+        files.write_lines(traits.fix_lines(spark.read.text(a.names), files.read_corrections(spark, a.corrections)), a.out)
     elif a.command == "dry-run":
         return traits.dry_run(traits.parse_expanded(files.read_list(spark, a.lines)), store.species, store.questions, store.species_questions)
     elif a.command == "report":

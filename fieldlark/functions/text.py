@@ -25,7 +25,6 @@ BLOCK_TAGS = r"(?i)</?(?:p|div|br|li|h[1-6]|tr|th|td)\b[^>]*>"
 ANY_TAG = r"(?s)<[^>]+>"
 BLANKS = r"[ \t\f\x0B]+"
 BLANK_LINES = r"\n\s*\n+"
-ELLIPSIS = "..."
 
 
 def _has_any(text: Column, phrases: tuple[str, ...]) -> Column:
@@ -110,8 +109,8 @@ def valid_utf8(data: Column) -> Column:
 
 
 def printable(text: Column) -> Column:
-    """Without control and format characters, but with line breaks and tabs."""
-    return F.regexp_replace(text, r"[\p{C}&&[^\n\r\t]]", "")
+    """Without control and format characters and separators, but with spaces, line breaks and tabs."""
+    return F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ \n\r\t]]", "")
 
 
 def no_punctuation(text: Column) -> Column:
@@ -119,10 +118,9 @@ def no_punctuation(text: Column) -> Column:
 
 
 def valid_words(text: Column) -> Column:
-    """Words that are ASCII letters once punctuation at their ends is gone, joined by spaces."""
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
-    bare = F.transform(words, lambda w: F.btrim(w, F.lit(string.punctuation)))
-    return F.array_join(F.filter(bare, lambda w: w.rlike("^[A-Za-z]+$")), " ")
+    """Words that are ASCII letters once all punctuation is gone, joined by spaces."""
+    words = F.split(F.trim(F.regexp_replace(no_punctuation(text), r"\s+", " ")), " ")
+    return F.array_join(F.filter(words, lambda w: w.rlike("^[A-Za-z]+$")), " ")
 
 
 def nl2br(text: Column) -> Column:
@@ -152,24 +150,9 @@ def is_relevant(text: Column, keywords: Column) -> Column:
     return F.contains(one_line(text), phrase_of(keywords))
 
 
-def preview(text: Column, phrase: Column, around: int = 40, otherwise: int = 80) -> Column:
-    """The first place of ``phrase`` in any case with characters around it, or the start of the text.
-
-    An ellipsis marks each side that was cut.
-    """
-    at = F.locate_column(phrase, text) if hasattr(F, "locate_column") else F.instr(F.lower(text), F.lower(phrase))
-    start = F.greatest(at - around, F.lit(1))
-    end = F.least(at + F.length(phrase) + around, F.length(text) + 1)
-    cut = F.concat(
-        F.when(start > 1, F.lit(ELLIPSIS)).otherwise(F.lit("")), F.substring(text, start, end - start),
-        F.when(end <= F.length(text), F.lit(ELLIPSIS)).otherwise(F.lit("")),
-    )
-    return F.when(at > 0, cut).otherwise(F.substring(text, 1, otherwise))
-
-
 def joined_evidence(items: Column) -> Column:
     """Items on one line each, joined by an ellipsis."""
-    return F.array_join(F.transform(items, lambda e: F.trim(F.translate(e, "\n", " "))), " ... ")
+    return F.array_join(F.transform(items, lambda e: F.trim(F.translate(e, "\n\r", "  "))), " ... ")
 
 
 def template_of(question: Column, species: Column) -> Column:

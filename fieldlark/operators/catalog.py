@@ -53,8 +53,8 @@ def group_concat_distinct(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def usable(value: Column) -> Column:
-    """Neither null, nor the text null, nor NaN."""
-    return value.isNotNull() & (F.lower(value) != "null") & (F.lower(value) != "nan")
+    """Neither null nor the text null in any case; the text nan is a number."""
+    return value.isNotNull() & (F.lower(value) != "null")
 
 
 def unique_value_summary(store: Store) -> DataFrame:

@@ -11,7 +11,7 @@ UNKNOWN, FAILED = "UNKNOWN", "FAILED"
 
 
 def norm(part: Column) -> Column:
-    return F.trim(no_punctuation(F.lower(F.trim(part))))
+    return no_punctuation(F.lower(F.trim(part)))
 
 
 def consolidate(answers: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:

@@ -70,8 +70,16 @@ def species_questions(species: DataFrame, scopes: DataFrame) -> DataFrame:
     return species.crossJoin(F.broadcast(scopes)).withColumn("question_formatted", F.replace("question_body", F.lit("[species]"), F.col("species")))
 
 
+def fix_lines(lines: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Lines (column ``value``) with names trimmed and corrected; comments and blank lines pass through."""
+    name = F.trim("value")
+    fixes = corrections.select(F.col("original").alias("__name"), "corrected").dropDuplicates(["__name"])
+    joined = lines.join(fixes, name == F.col("__name"), "left")
+    return joined.select(F.when((name == "") | name.startswith("#"), F.col("value")).otherwise(F.coalesce("corrected", name)).alias("value"))
+
+
 def fix_spelling(names: DataFrame, corrections: DataFrame) -> DataFrame:
-    """``name`` with its correction if there is one; comments and blank lines pass through."""
+    """``name`` with its correction if there is one."""
     fixes = corrections.select(F.col("original").alias("name"), "corrected").dropDuplicates(["name"])
     return names.join(fixes, "name", "left").select("name", F.coalesce("corrected", "name").alias("fixed"))
 
@@ -119,7 +127,7 @@ def snippet(context: Column, name: Column, around: int = 40) -> Column:
     """``around`` characters to both sides of the first place of ``name``, else the context's start."""
     at = F.instr(F.lower(context), F.lower(name)) - 1
     start, end = F.greatest(at - around, F.lit(0)), F.least(at + around, F.length(context))
-    body = F.trim(F.substring(context, start + 1, end - start))
+    body = F.regexp_replace(F.substring(context, start + 1, end - start), r"^\s+|\s+$", "")
     cut = F.concat(F.when(start > 0, "... ").otherwise(""), body, F.when(end < F.length(context), " ...").otherwise(""))
     return F.when(at >= 0, cut).otherwise(F.substring(context, 1, 2 * around))
 

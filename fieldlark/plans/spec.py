@@ -59,7 +59,7 @@ def extract_years(text: str) -> list[int]:
     found: set[int] = set()
     if text.strip() == "":
         raise SpecError("no years")
-    for part in re.split(r",\s*|\s+", text):
+    for part in re.split(r"[,\s]+", text):
         m = re.fullmatch(r"([0-9]+)(?:-([0-9]+))?", part)
         if not m:
             raise SpecError(f"not a year or a range of years: {part!r} in {text!r}")

@@ -171,13 +171,13 @@ def group_concat_distinct(store: Store) -> DataFrame:
 
 
 @query("""SELECT DISTINCT d.name, CASE WHEN TRY_CAST(v.value AS DOUBLE) IS NOT NULL THEN 'true' ELSE lower(v.value) END AS value FROM v_covariate_value v JOIN v_covariate_defn d ON d.id_key = v.covariate_defn_id
-WHERE v.value IS NOT NULL AND lower(v.value) NOT IN ('null', 'nan')""")
+WHERE v.value IS NOT NULL AND lower(v.value) <> 'null'""")
 def unique_value_summary(store: Store) -> DataFrame:
     return catalog.unique_value_summary(store)
 
 
 @query("""SELECT name, display_order FROM v_covariate_defn d WHERE NOT hidden AND (covariate_association = 1 OR show_in_point_table)
-AND (always_display OR id_key IN (SELECT covariate_defn_id FROM v_covariate_value WHERE sample_id IS NOT NULL AND value IS NOT NULL AND lower(value) NOT IN ('null', 'nan')))""")
+AND (always_display OR id_key IN (SELECT covariate_defn_id FROM v_covariate_value WHERE sample_id IS NOT NULL AND value IS NOT NULL AND lower(value) <> 'null'))""")
 def display_columns(store: Store) -> DataFrame:
     return catalog.display_columns(store, results.SAMPLE_LEVEL)
 
@@ -269,7 +269,7 @@ r AS (SELECT asked.*, a.id AS answer_id, a.answer_text, a.reason, l.url, a.conte
  FROM asked JOIN v_answers a ON a.question_id = asked.question_id JOIN v_question_links ql ON ql.id = a.question_link_id JOIN v_links l ON l.id = a.link_id),
 c AS (SELECT *, greatest(pos_ - 40, 0) AS b, least(pos_ + 40, n) AS e FROM r)
 SELECT species, replace(question_text, species, '[species]') AS question, answer_text AS answer, reason, '' AS evidence, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host,
- CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(context, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(context, 1, 80) END AS context_example, answer_id, question_id FROM c
+ CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || regexp_replace(substr(context, b + 1, e - b), '^\\s+|\\s+$', '', 'g') || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(context, 1, 80) END AS context_example, answer_id, question_id FROM c
 UNION ALL SELECT species, replace(question_text, species, '[species]'), 'none', 'no links found in search', 'n/a', NULL, NULL, NULL, NULL, question_id FROM asked WHERE question_id NOT IN (SELECT question_id FROM v_question_links)""")
 def qna_report(store: Store) -> DataFrame:
     return traits.report(store)
@@ -422,7 +422,7 @@ def ascii_sanitize(store: Store) -> DataFrame:
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@query(rf"""SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: trim(w, '{_PUNCT}')), lambda w: regexp_full_match(w, '[A-Za-z]+')), ' '), '') AS words FROM documents""")
+@query(rf"""SELECT doc_id, coalesce(array_to_string(list_filter(string_split(trim(regexp_replace(translate(text, '{_PUNCT}', ''), '\s+', ' ', 'g')), ' '), lambda w: regexp_full_match(w, '[A-Za-z]+')), ' '), '') AS words FROM documents""")
 def valid_words(store: Store) -> DataFrame:
     return store.raw("documents").select("doc_id", T.valid_words(F.col("text")).alias("words"))
 
@@ -458,7 +458,7 @@ def context_windows_sql(store: Store) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT doc_id, text, strpos(lower(text), 'the') - 1 AS pos_, length(text) AS n FROM documents), c AS (SELECT *, greatest(pos_ - 40, 0) AS b, least(pos_ + 40, n) AS e FROM r)
-SELECT doc_id, CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || trim(substr(text, b + 1, e - b)) || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(text, 1, 80) END AS example FROM c""")
+SELECT doc_id, CASE WHEN pos_ >= 0 THEN CASE WHEN b > 0 THEN '... ' ELSE '' END || regexp_replace(substr(text, b + 1, e - b), '^\\s+|\\s+$', '', 'g') || CASE WHEN e < n THEN ' ...' ELSE '' END ELSE substr(text, 1, 80) END AS example FROM c""")
 def context_preview(store: Store) -> DataFrame:
     return store.raw("documents").select("doc_id", traits.snippet(F.col("text"), F.lit("the")).alias("example"))
 
@@ -502,8 +502,8 @@ def consolidate_answers(store: Store) -> DataFrame:
 
 
 @query(f"""WITH c AS ({_CONSOLIDATED}), p AS (SELECT user_id, unnest(string_split(consolidated, ',')) AS part, unnest(range(len(string_split(consolidated, ',')))) AS pos FROM c),
-n AS (SELECT user_id, pos, trim(translate(lower(trim(part)), '{_PUNCT}', '')) AS part FROM p),
-v AS (SELECT user_id, part, count(*) AS n FROM (SELECT user_id, trim(translate(lower(trim(x)), '{_PUNCT}', '')) AS part FROM (SELECT user_id, unnest(string_split(answer, ',')) AS x FROM ({_VOTES}) a) b) d GROUP BY user_id, part)
+n AS (SELECT user_id, pos, translate(lower(trim(part)), '{_PUNCT}', '') AS part FROM p),
+v AS (SELECT user_id, part, count(*) AS n FROM (SELECT user_id, translate(lower(trim(x)), '{_PUNCT}', '') AS part FROM (SELECT user_id, unnest(string_split(answer, ',')) AS x FROM ({_VOTES}) a) b) d GROUP BY user_id, part)
 SELECT n.user_id, string_agg(n.part || ' (' || coalesce(v.n, 0) || ')', ', ' ORDER BY coalesce(v.n, 0) DESC, pos) AS ranked FROM n LEFT JOIN v ON v.user_id = n.user_id AND v.part = n.part GROUP BY n.user_id""")
 def vote_rank(store: Store) -> DataFrame:
     votes = _votes(store)

@@ -40,7 +40,8 @@ def test_urls(spark):
 
 
 def test_words(spark):
-    assert one(spark, T.valid_words(F.col("t")), t=" (Hello), w0rld it's fine. ") == "Hello fine"
+    assert one(spark, T.valid_words(F.col("t")), t=" (Hello), w0rld it's fine. ") == "Hello its fine"
+    assert one(spark, T.printable(F.col("t")), t="a\u00a0b\x07 c\n") == "ab c\n"
     assert one(spark, T.ascii_only(F.col("t")), t="naïve ñ") == "nave "
     assert one(spark, T.chunks(F.col("t"), 2), t="abcde") == ["ab", "cd", "e"]
     assert one(spark, T.chunks(F.col("t"), 2), t="") == []

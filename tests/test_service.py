@@ -79,8 +79,9 @@ def test_cli(spark, sf_dir, tmp_path):
     (tmp_path / "c.txt").write_text("Aphis,Aphis fabae\n")
     cli.run(spark, ["expand", str(tmp_path / "t.txt"), str(tmp_path / "e"), "--pest_list", str(tmp_path / "l.txt")])
     assert {r.value for r in spark.read.text(str(tmp_path / "e")).collect()} == {'Aphis:"Aphis" pest:Is Aphis a pest?', 'Bombus:"Bombus" pest:Is Bombus a pest?'}
-    cli.run(spark, ["spell", str(tmp_path / "l.txt"), str(tmp_path / "c.txt"), str(tmp_path / "s")])
-    assert {r.value for r in spark.read.text(str(tmp_path / "s")).collect()} == {"Aphis fabae", "Bombus"}
+    (tmp_path / "n.txt").write_text("# names\n Aphis \n\nBombus\n")
+    cli.run(spark, ["spell", str(tmp_path / "n.txt"), str(tmp_path / "c.txt"), str(tmp_path / "s")])
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "s")).collect()) == ["", "# names", "Aphis fabae", "Bombus"]
     assert cli.run(spark, ["dry-run", sf_dir, str(tmp_path / "e")]).first().new_pairs == 2
     cli.run(spark, ["report", sf_dir, str(tmp_path / "r")])
     cli.run(spark, ["missing-answers", sf_dir, str(tmp_path / "m")])

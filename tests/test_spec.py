@@ -3,7 +3,7 @@ import pytest
 from fieldlark.plans.spec import Box, QuerySpec, SpecError, box_of, extract_years, filter_text, spec_from_form
 
 
-@pytest.mark.parametrize("text,years", [("1990", [1990]), ("1990, 1992 1995-1997", [1990, 1992, 1995, 1996, 1997]), ("1990-1992, 1991-1993", [1990, 1991, 1992, 1993]), ("2000-1990", [])])
+@pytest.mark.parametrize("text,years", [("1990", [1990]), ("1990, 1992 1995-1997", [1990, 1992, 1995, 1996, 1997]), ("1990-1992, 1991-1993", [1990, 1991, 1992, 1993]), ("2000-1990", []), ("1990 ,1991,\t1993", [1990, 1991, 1993])])
 def test_years(text, years):
     assert extract_years(text) == years
 
