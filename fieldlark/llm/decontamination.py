@@ -14,7 +14,7 @@ tokens are left out of the index, they would fit anything.  Items shorter than a
 are one window of their own length; items under ``LITERAL`` tokens can't be judged.
 
 Native: expressions, a generator and hash joins.  The benchmark's index is broadcast
-when its counted rows stay within the bound, and shuffled beyond.  No document is
+when its measured size stays within the bound, and shuffled beyond.  No document is
 shuffled; only matched windows are.
 
 Defined cases: null text is empty; empty texts match nothing; documents that repeat
@@ -74,7 +74,7 @@ def _windows(df: DataFrame, key: str, text: str, size: int, names: bool, out: st
 
 
 def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dict[int, tuple[DataFrame, int]]:
-    """By window length, the index (item_id, ip, item window, hash) and its number of rows."""
+    """By window length, the index (item_id, ip, item window, hash) and its size in bytes."""
     out: dict[int, tuple[DataFrame, int]] = {}
     plain = with_tokens(benchmark.select(F.col(text).alias("__text")), "__text", False)
     lengths = plain.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
@@ -88,16 +88,17 @@ def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dic
             own = F.coalesce("r", "w")
             forms.append(w.select("item_id", F.col("p").alias("ip"), F.slice("w", F.col("p"), size).alias("iw"), F.slice(own, F.col("p"), size).alias("ir"), "hash"))
         both = forms[0].unionByName(forms[1]).dropDuplicates(["item_id", "ip", "iw"])
-        out[size] = (both, both.count())
+        tokens = F.octet_length(F.array_join("iw", " ")) + F.octet_length(F.array_join("ir", " "))
+        out[size] = (both, both.agg(F.coalesce(F.sum(tokens + 500), F.lit(0))).first()[0])
     return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Matched windows: doc_id, item_id, ip, p and the slots' fillers (item's, document's)."""
     found = None
-    for size, (items, n) in index(benchmark).items():
+    for size, (items, size_bytes) in index(benchmark).items():
         w = _windows(docs, key, text, size, True, "doc_id")
-        same = w.join(small_or_not(items, n, 800), "hash").where(F.slice("w", F.col("p"), size) == F.col("iw"))
+        same = w.join(small_or_not(items, 1, size_bytes), "hash").where(F.slice("w", F.col("p"), size) == F.col("iw"))
         pair = F.zip_with("ir", F.slice(F.coalesce("r", "w"), F.col("p"), size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
         slots = F.filter(pair, lambda s: s["doc"].startswith(_M))
         one = same.select("doc_id", "item_id", "ip", "p", slots.alias("slots"))

@@ -79,7 +79,8 @@ def listed_matches(urls: DataFrame, rules: DataFrame, listed: DataFrame | None)
     if listed is not None:
         exact = listed.select(F.concat(F.lit("="), _key(F.col("host"), F.col("path"))).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
         entries = prefixes.union(exact.distinct())
-    count = entries.count()
+    bytes_of = F.octet_length("key") + F.octet_length(F.coalesce("rule", F.lit(""))) + 100
+    count, size = entries.agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
     blocks = max(1, count * BITS_PER_KEY // (64 * WORDS) + 1)
     labels = F.split("host", r"\.")
     cands = [F.concat(F.lit("="), _key(F.col("host"), F.col("path")))] if listed is not None else []
@@ -93,7 +94,7 @@ def listed_matches(urls: DataFrame, rules: DataFrame, listed: DataFrame | None)
     for i, m in enumerate(_masks(F.col("key"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
     passed = probe.join(small_or_not(bloom(entries, blocks), min(blocks, count), 8 * (WORDS + 1)), "block").where(hit).select("host", "path", "key")
-    sure = passed.join(small_or_not(entries, count, 200), "key")
+    sure = passed.join(small_or_not(entries, 1, size), "key")
     best = F.max(F.struct(F.col("rule").isNotNull().alias("ruled"), F.length("rule").alias("n"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict")))
     return sure.groupBy("host", "path").agg(best.alias("b")).select("host", "path", "b.rule", "b.verdict")
 
