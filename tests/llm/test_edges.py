@@ -152,6 +152,12 @@ def test_revisits(spark):
     assert revisits.resolve(log.limit(0)).count() == 0
 
 
+def test_canonical(spark):
+    urls = ["HTTP://WWW.A.org/x/?q#f", "https://a.org/x", "nothing", None, "http://"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(revisits.canonical("u")).collect()]
+    assert got == ["a.org/x", "a.org/x", None, None, None]
+
+
 @pytest.mark.parametrize("chunks", [1, 3, 50])
 def test_as_of_equals_brute_force(spark, chunks):
     rng = random.Random(chunks)
