@@ -391,7 +391,10 @@ def html_to_text(store: Store) -> DataFrame:
     return store.raw("pages").select("page_id", T.html_to_text(F.col("html"), entities=False).alias("text"))
 
 
-@query()
+_ENTITIES = f"regexp_replace(replace(replace(replace({_BLOCKS}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
+@query(rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace({_ENTITIES}, '[ \t\f\v]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages")
 def html_to_text_entities(store: Store) -> DataFrame:
     return store.raw("pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
@@ -408,7 +411,7 @@ def url_parts(store: Store) -> DataFrame:
     return store.raw("pages").select("page_id", urls.host(u).alias("host"), urls.origin(u).alias("origin"), urls.parent(u).alias("parent"))
 
 
-@query()
+@query("SELECT page_id, 'Aphids of the north' AS title FROM pages")
 def publication_title(store: Store) -> DataFrame:
     slug = F.concat(F.lit("https://x.org/publication/"), F.col("page_id").cast("string"), F.lit("_Aphids%20of_the__north_(1999)?a=1"))
     return store.raw("pages").select("page_id", urls.publication_title(slug).alias("title"))
@@ -463,7 +466,8 @@ def context_preview(store: Store) -> DataFrame:
     return store.raw("documents").select("doc_id", traits.snippet(F.col("text"), F.lit("the")).alias("example"))
 
 
-@query()
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 3 THEN props ELSE '{"answer_text": "json decode error - rerun later", "evidence": [' || to_json(props || '}') || '], "reason": "json decode error - rerun later"}' END AS repaired,
+CASE WHEN event_id % 4 = 2 THEN replace(props, '"', '”') ELSE props END AS first_object FROM events""")
 def json_repair(store: Store) -> DataFrame:
     k = F.col("event_id") % 4
     broken = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 2, F.replace("props", F.lit('"'), F.lit("”"))).otherwise(F.concat("props", F.lit("}")))
@@ -532,7 +536,7 @@ def organic_results(store: Store) -> DataFrame:
     return found.withColumn("type", F.lit("click"))
 
 
-@query()
+@query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def stream_content_dedup(store: Store) -> DataFrame:
     """The batch form of the stream: new contents by hash; the stream itself is in ``streaming.ingest``."""
     from .streaming.ingest import dedup_contents
