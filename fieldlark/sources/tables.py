@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _TEMPLATES = (
@@ -67,6 +69,7 @@ class Store:
     """Domain tables over one directory of raw parquet tables, or over tables given by name."""
 
     def __init__(self, spark: SparkSession, directory: str, tables: dict[str, DataFrame] | None = None) -> None:
+        ship(spark)
         self.spark, self.directory, self.given = spark, directory, dict(tables or {})
         self._made: dict[str, DataFrame] = {}
 
