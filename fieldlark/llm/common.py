@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Largest table, in bytes, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
 #: Texts of Latin letters and common punctuation, whose lower case and classes are the same in every library.
@@ -47,6 +49,8 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the directory; the first call sends the package to the workers."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
