@@ -36,7 +36,7 @@ MASK = np.uint32((1 << BITS) - 1)
 MAX_ROWS = 6000
 MAX_FEATURES = 12_000_000
 #: Distinct words a worker remembers before it starts anew.
-CACHE = 200_000
+CACHE = 120_000
 #: As many repeats as a short text has by chance do not count.
 CHANCE = 2
 #: Shares of words equal to the last, or the last but one; each that is reached is a feature.
@@ -58,19 +58,19 @@ class Features:
     """Turns texts into sorted, distinct feature indices; remembers hashes of words."""
 
     def __init__(self) -> None:
-        self.words: dict[str, tuple[int, int]] = {}
+        self.words: dict[str, int] = {}  # two hashes in one number: of the word and of its shape
 
     def of(self, text: str) -> np.ndarray:
         tokens = _WORDS.findall(text)
         known = self.words
         for w in set(tokens).difference(known):
-            known[w] = (zlib.crc32(w.lower().encode("utf-8", "replace")), _shape(w))
+            known[w] = zlib.crc32(w.lower().encode("utf-8", "replace")) << 32 | _shape(w)
         if not tokens:
             return np.zeros(1, np.uint32)
-        pairs = np.array([known[w] for w in tokens], dtype=np.uint32)
+        pairs = np.array([known[w] for w in tokens], dtype=np.uint64)
         if len(known) > CACHE:
             known.clear()
-        w, s = pairs[:, 0], pairs[:, 1]
+        w, s = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
         mix = np.uint32(0x9E3779B1)
         with np.errstate(over="ignore"):
             s2 = s[1:] * mix + s[:-1]
