@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over whole documents, each reading what the one before it wrote.
 
 quality        drops the documents that the classifier rejects
-near_dedup     keeps the document with the smallest id of each near-duplicate component
+near_dedup     keeps the document with the smallest id of each near-duplicate component (Jaccard 0.8 on five-word shingles)
 decontaminate  drops the documents that hold a benchmark item
 secrets        replaces each secret by its kind in brackets
 packing        packs the token sequences; its rows are the pipeline's result
@@ -15,7 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlark.llm import blob_ledger, decontamination, packing, quality, simhash
+from fieldlark.llm import blob_ledger, decontamination, jaccard, packing, quality
 from fieldlark.llm.common import read, shared_folder
 from fieldlark.shipping import ship
 
@@ -28,7 +28,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.keep_first(docs)
+    return jaccard.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldlark.llm import ann, blob_ledger, components, decontamination, packing, pii, quality, revisits, simhash, token_counts, url_filter
+import corpus_pipeline
+from fieldlark.llm import ann, blob_ledger, components, decontamination, jaccard, packing, pii, quality, revisits, simhash, token_counts, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, spans string, score double, blob_id string, host string"
 LONG = "word " * 60_000 + "x" * 120_000 + " " + "é\n" * 20_000
@@ -244,6 +245,40 @@ def test_components_of_a_long_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_near_dedup_equals_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = [None, " ", "only four words here", "ONLY four words\there", "only four words her"]
+    for size in (8, 12, 40, 200, 900):
+        for _ in range(4):
+            base = [rng.choice(vocabulary) for _ in range(size)]
+            for edits in (0, 0, 1, 1, 1, 2, 3, 5, 9, 15):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.choice([0, -1, rng.randrange(size)])] = rng.choice(vocabulary)
+                texts.append(" ".join(copy))
+    base = [rng.choice(vocabulary) for _ in range(60)]
+    for _ in range(40):  # a chain: its ends are far apart
+        base = [*base[2:], rng.choice(vocabulary), rng.choice(vocabulary)]
+        texts.append(" ".join(base))
+    rng.shuffle(texts)
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 10 * common >= 8 * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect() if r.doc_id is not None}
+    assert got == dict(enumerate(root))
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert {r.doc_id for r in kept.collect()} == {None, *root} and kept.columns == df.columns
+    assert corpus_pipeline.near_dedup(spark, df.limit(0), "").count() == 0
+
+
 # 5 ---------------------------------------------------------------------------------------
 
 
