@@ -95,7 +95,7 @@ def find(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and ``found``: array of kind, start, end, value and score by start, then kind."""
     none = F.array().cast(f"array<{_SPAN}>")
     t = F.col("__t")
-    has = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "ip": F.col("__d"), "card": F.col("__d"), "iban": F.col("__d")}
+    has = {"email": F.contains(t, F.lit("@")), "phone": F.contains(t, F.lit("+")), "ip": F.col("__d"), "card": F.lit(True), "iban": F.col("__d")}
     base = docs.select(*keys, text_or_empty(text).alias("__t")).withColumn("__d", t.rlike("[0-9][0-9.]"))
     sure = {"ip": t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), "card": t.rlike(PATTERNS["card"]), "iban": t.rlike("[A-Z]{2}[0-9]{2}"), "email": F.lit(True), "phone": F.lit(True)}
     each = [F.when(has[k] & sure[k], F.filter(spans_of(t, k), _confirmed(k))).otherwise(none).alias(f"__{k}") for k in PATTERNS]

@@ -367,6 +367,14 @@ def test_personal_data_on_random_texts(spark):
             assert r.base_sha256 == sha(base_spans(texts[i], PERSONAL)), texts[i]
 
 
+def test_card_with_a_separator_between_all_digits(spark):
+    number = "4111111111111111"
+    texts = [" ".join(number), "-".join(number), "pay " + "- ".join(number), "x" + " ".join(number[:13]), "no " + " ".join("4111111111111112")]
+    got = by_id(pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id"]), ["doc_id"]))
+    assert [got[i].n_card for i in range(5)] == [1, 1, 0, 0, 0]
+    assert [got[i].base_sha256 for i in range(5)] == [sha(base_spans(t, PERSONAL)) for t in texts]
+
+
 def test_iban_and_context(spark):
     df = spark.createDataFrame([(0, "my IBAN is DE89 3704 0044 0532 0130 00 here"), (1, "DE89 3704 0044 0532 0130 01")], "doc_id long, text string")
     got = by_id(pii.find(df, ["doc_id"]))
