@@ -2,10 +2,10 @@
 
 Numbers, names and units are replaced by typed placeholders; windows of ``WINDOW``
 tokens over whole texts are hashed and hash-joined with the windows of the
-benchmark, then compared token by token.  A pair of document and item counts when the
-matched windows cover ``COVER`` of the item's, or ``RUN`` of them share an alignment, and the fillers of its slots are
-consistent: on one alignment, a filler of the item always stands for the same filler
-in the document (``CONSISTENT`` of them at least).  So an item is found when it is
+benchmark, then compared token by token.  An alignment counts when the fillers of its
+slots are consistent: a filler of the item always stands for the same filler
+in the document (``CONSISTENT`` of them at least).  A pair of document and item counts when the
+matched windows of such alignments cover ``COVER`` of the item's, or ``RUN`` of them share one.  So an item is found when it is
 copied, and also when its names and numbers were changed throughout.
 
 Items are indexed twice, with names as placeholders and with names as plain words, so
@@ -119,11 +119,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     fillers = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     steady = F.size(F.filter(F.array_distinct(F.transform("slots", lambda s: s["item"])), lambda x: F.size(F.filter("slots", lambda s: s["item"] == x)) == 1))
     each = each.select("doc_id", "item_id", "ips", F.size("ips").alias("run"), fillers.alias("n"), steady.alias("ok"))
+    # each alignment is judged by itself: an inconsistent one takes nothing from a copy elsewhere in the document
+    each = each.where((F.col("n") == 0) | (F.col("ok") >= CONSISTENT * F.col("n")))
     pairs = each.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("ips")))).alias("n_windows"), F.max("run").alias("run"), F.sum("n").alias("n_slots"), F.sum("ok").alias("ok"))
     joined = pairs.join(total, "item_id").withColumn("coverage", F.least(F.col("n_windows") / F.col("of"), F.lit(1.0)))
     share = F.when(F.col("n_slots") > 0, F.col("ok") / F.col("n_slots")).otherwise(F.lit(1.0))
-    out = joined.withColumn("slots_consistent", share).where(((F.col("coverage") >= COVER) | (F.col("run") >= RUN)) & (F.col("slots_consistent") >= CONSISTENT))
+    out = joined.withColumn("slots_consistent", share).where((F.col("coverage") >= COVER) | (F.col("run") >= RUN))
     return out.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), "coverage", "n_slots", "slots_consistent")
 
 

@@ -415,6 +415,14 @@ def test_slots_must_be_consistent(spark):
     assert got == {0}
 
 
+def test_an_inconsistent_variant_does_not_hide_a_copy(spark):
+    item = "Add 3 to the sum of 3 and 9 then take 3 away from the sum of 9 and 3 again"
+    mixed = "Add 1 to the sum of 2 and 3 then take 4 away from the sum of 5 and 6 again"
+    docs = spark.createDataFrame([(0, f"{item}. {mixed}."), (1, f"{mixed}. And so on. {item}."), (2, f"{mixed}. {mixed}.")], "doc_id long, text string")
+    got = {r.doc_id: r.slots_consistent for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {0: 1.0, 1: 1.0}
+
+
 # 10 --------------------------------------------------------------------------------------
 
 
