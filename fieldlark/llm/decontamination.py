@@ -8,8 +8,9 @@ in the document (``CONSISTENT`` of them at least).  A pair of document and item
 matched windows of such alignments cover ``COVER`` of the item's, or ``RUN`` of them share one.  So an item is found when it is
 copied, and also when its names and numbers were changed throughout.
 
-Items are indexed twice, with names as placeholders and with names as plain words, so
-that copies in lower case are found as well.  Windows with fewer than ``LITERAL`` plain
+Windows of items and of documents have two forms, with names as placeholders and, where that
+differs, with names as plain words, so that copies in lower case, in capitals and in title case
+are found as well.  Windows with fewer than ``LITERAL`` plain
 tokens are left out of the index, they would fit anything.  Items shorter than a window
 are one window of their own length; items under ``LITERAL`` tokens can't be judged.
 
@@ -35,19 +36,22 @@ COVER = 0.5
 #: Windows in a row on one alignment that count whatever the item's length: 13 tokens.
 RUN = 6
 CONSISTENT = 0.8
+#: Forms of a window: names are placeholders, or plain words.
+TYPED, PLAIN = 0, 1
 #: Units (fixed values).
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|feet|ft|inch(?:es)?|lbs?|pounds?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|meters?|metres?|liters?|litres?|grams?|kilograms?"
 _M = "\x01"
 _NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _NAME = r"\p{Lu}(?<=[^.!?\s\x01][ ]\p{Lu})\p{L}++"
 _UNIT = rf"(?<=\x01d.{{1,24}}[ ])(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
+_TYPED = r"(\x01[dnu])(?:[\p{L}\p{N}]|[.,](?=\p{N}))++"
 _BETWEEN = r"[^\p{L}\p{N}\x01]+"
 #: The same, but for a point or comma within a number.
 _BETWEEN_NUMBERS = r"(?:(?!(?<=\p{N})[.,](?=\p{N}))[^\p{L}\p{N}\x01])++"
 
 
-def with_tokens(df: DataFrame, text: str, names: bool = True) -> DataFrame:
-    """``df`` with arrays of canonical tokens ``w`` and, place for place, of the raw ones ``r``; ``r`` is null if both are equal.
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with arrays of canonical tokens ``w`` and, place for place, of the raw ones ``r`` and of those with names plain ``v``; ``r`` or ``v`` is null if equal to ``w``.
 
     Each step is a projection of its own, so that no pattern runs twice.  Most texts have no
     number and many no placeholder at all; these skip the patterns and the second split.
@@ -56,38 +60,64 @@ def with_tokens(df: DataFrame, text: str, names: bool = True) -> DataFrame:
     rows = df.withColumn("__x", F.translate(text_or_empty(text), _M + "\x02", "  "))
     marked = F.regexp_replace(F.regexp_replace(x, _NUMBER, _M + "d$0"), _UNIT, _M + "u$0")
     rows = rows.withColumn("__x", F.when(x.rlike(r"\p{N}"), marked).otherwise(x))
-    rows = rows.withColumn("__x", F.lower(F.regexp_replace(x, _NAME, _M + "n$0") if names else x))
+    rows = rows.withColumn("__x", F.lower(F.regexp_replace(x, _NAME, _M + "n$0")))
     rows = rows.withColumn("__has", F.contains(x, F.lit(_M)))
-    typed = F.regexp_replace(x, r"(\x01[dnu])(?:[\p{L}\p{N}]|[.,](?=\p{N}))++", "$1")
-    split = F.when(F.col("__has"), F.split(typed, _BETWEEN_NUMBERS, -1)).otherwise(F.split(x, _BETWEEN, -1))
+    split = F.when(F.col("__has"), F.split(F.regexp_replace(x, _TYPED, "$1"), _BETWEEN_NUMBERS, -1)).otherwise(F.split(x, _BETWEEN, -1))
     raw = F.when(F.col("__has"), F.array_remove(F.split(x, _BETWEEN_NUMBERS, -1), ""))
-    return rows.withColumn("w", F.array_remove(split, "")).withColumn("r", raw).drop("__x", "__has")
+    rows = rows.withColumn("w", F.array_remove(split, "")).withColumn("r", raw)
+    plain = F.zip_with("w", "r", lambda w, r: F.when(w == _M + "n", _unnamed(r)).when(w.startswith(_M + "n"), F.regexp_replace(_unnamed(r), _TYPED, "$1")).otherwise(w))
+    return rows.withColumn("v", F.when(F.contains(x, F.lit(_M + "n")), plain)).drop("__x", "__has")
 
 
-def _windows(df: DataFrame, key: str, text: str, size: int, names: bool, out: str) -> DataFrame:
-    """Windows as places ``p`` in the arrays ``w`` and ``r``, with the hash of their tokens."""
-    words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text", names).select(out, "w", "r")
+def _unnamed(token: Column) -> Column:
+    """A raw token without the mark of a name, which can only stand at its start."""
+    return F.when(token.startswith(_M + "n"), F.substr(token, F.lit(3))).otherwise(token)
+
+
+def _places(first: Column, last: Column, size: int, end: Column) -> Column:
+    """Windows that hold the places ``first`` to ``last``, which lie in one window; ``end`` is the last window."""
+    return F.sequence(F.greatest(last - size + 1, F.lit(1)), F.least(first, end))
+
+
+def _coded(places: Column, form: int) -> Column:
+    return F.transform(F.coalesce(places, F.array().cast("array<int>")), lambda p: p * 4 + form)
+
+
+def _windows(df: DataFrame, key: str, text: str, size: int, out: str) -> DataFrame:
+    """Windows as a form ``f`` and places ``p`` in the arrays ``w``, ``v`` and ``r``, with the hash of their tokens."""
+    words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text").select(out, "w", "r", "v")
     # a text shorter than a window has one that fits no full window; a filter here would be pushed below the steps and repeat them
-    at = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    rows = words.select(out, "w", "r", F.explode(at).alias("p"))
-    return rows.select(out, "w", "r", "p", F.xxhash64(F.slice("w", F.col("p"), size)).alias("hash"))
+    end = F.greatest(F.size("w") - size + 1, F.lit(1))
+    named = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).startswith(_M + "n"))
+    plain = F.when(F.col("v").isNotNull(), F.array_distinct(F.flatten(F.transform(named, lambda i: _places(i, i, size, end)))))
+    forms = [F.sequence(F.lit(1), end), plain]
+    rows = words.select(out, "w", "r", "v", F.explode(F.concat(*(_coded(c, f) for f, c in enumerate(forms)))).alias("__c"))
+    rows = rows.select(out, "w", "r", "v", (F.col("__c") % 4).alias("f"), F.shiftright("__c", 2).alias("p"))
+    return rows.withColumn("hash", F.xxhash64(_tokens(size)))
+
+
+def _tokens(size: int) -> Column:
+    """The tokens of a window as its form compares them."""
+    return F.when(F.col("f") == TYPED, F.slice("w", F.col("p"), size)).otherwise(F.slice("v", F.col("p"), size))
+
+
+def _own(size: int) -> Column:
+    """The raw tokens of a window; a name has its mark only in the form that makes it a slot."""
+    raw = F.slice(F.coalesce("r", "w"), F.col("p"), size)
+    return F.when(F.col("f") == TYPED, raw).otherwise(F.transform(raw, _unnamed))
 
 
 def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dict[int, tuple[DataFrame, int]]:
     """By window length, the index (item_id, ip, item window, hash) and its size in bytes."""
     out: dict[int, tuple[DataFrame, int]] = {}
-    plain = with_tokens(benchmark.select(F.col(text).alias("__text")), "__text", False)
-    lengths = plain.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
+    words = with_tokens(benchmark.select(F.col(text).alias("__text")), "__text")
+    lengths = words.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
     for size in sorted(r[0] for r in lengths.collect()):  # five numbers at most
-        forms = []
-        for names in (True, False):
-            w = _windows(benchmark, key, text, size, names, "item_id")
-            w = w.where((F.size("w") == size) if size < WINDOW else (F.size("w") >= size))
-            literal = F.size(F.filter(F.slice("w", F.col("p"), size), lambda t: ~t.startswith(_M)))
-            w = w.where(literal >= LITERAL)
-            own = F.coalesce("r", "w")
-            forms.append(w.select("item_id", F.col("p").alias("ip"), F.slice("w", F.col("p"), size).alias("iw"), F.slice(own, F.col("p"), size).alias("ir"), "hash"))
-        both = forms[0].unionByName(forms[1]).dropDuplicates(["item_id", "ip", "iw"])
+        w = _windows(benchmark, key, text, size, "item_id")
+        w = w.where((F.size("w") == size) if size < WINDOW else (F.size("w") >= size))
+        w = w.select("item_id", F.col("p").alias("ip"), "f", _tokens(size).alias("iw"), _own(size).alias("ir"), "hash")
+        w = w.where(F.size(F.filter("iw", lambda t: ~t.startswith(_M))) >= LITERAL)
+        both = w.drop("f").dropDuplicates(["item_id", "ip", "iw"])
         tokens = F.octet_length(F.array_join("iw", " ")) + F.octet_length(F.array_join("ir", " "))
         out[size] = (both, both.agg(F.coalesce(F.sum(tokens + 500), F.lit(0))).first()[0])
     return out
@@ -97,9 +127,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """Matched windows: doc_id, item_id, ip, p and the slots' fillers (item's, document's)."""
     found = None
     for size, (items, size_bytes) in index(benchmark).items():
-        w = _windows(docs, key, text, size, True, "doc_id")
-        same = w.join(small_or_not(items, 1, size_bytes), "hash").where(F.slice("w", F.col("p"), size) == F.col("iw"))
-        pair = F.zip_with("ir", F.slice(F.coalesce("r", "w"), F.col("p"), size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+        w = _windows(docs, key, text, size, "doc_id")
+        same = w.join(small_or_not(items, 1, size_bytes), "hash").where(_tokens(size) == F.col("iw"))
+        pair = F.zip_with("ir", _own(size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
         slots = F.filter(pair, lambda s: s["doc"].startswith(_M))
         one = same.select("doc_id", "item_id", "ip", "p", slots.alias("slots"))
         found = one if found is None else found.union(one)
@@ -111,8 +141,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows, coverage, n_slots, slots_consistent (a share) of the pairs that count."""
     got = hits(docs, benchmark, key, text)
-    plain = with_tokens(benchmark.select("item_id", F.col("text").alias("__text")), "__text", False)
-    total = plain.select("item_id", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("of")).groupBy("item_id").agg(F.max("of").alias("of"))
+    words = with_tokens(benchmark.select("item_id", F.col("text").alias("__text")), "__text")
+    total = words.select("item_id", F.greatest(F.size("w") - WINDOW + 1, F.lit(1)).alias("of")).groupBy("item_id").agg(F.max("of").alias("of"))
     each = got.groupBy("doc_id", "item_id", (F.col("p") - F.col("ip")).alias("shift")).agg(
         F.collect_set("ip").alias("ips"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
     # one alignment has as many windows as the item has at most

@@ -415,6 +415,14 @@ def test_slots_must_be_consistent(spark):
     assert got == {0}
 
 
+def test_copies_in_capitals_and_title_case(spark):
+    words = ITEM.replace("3.5", "3")
+    texts = [words, words.upper(), words.title(), "So he wrote: " + words.lower(), words.replace("Maria", "Pedro"), "NOTHING OF THE KIND WAS EVER SAID IN HERE BY ANY OF THEM"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame([(1, words), (2, words.title())], "item_id long, text string")).collect()}
+    assert {(i, 1) for i in range(5)} <= got and {(i, 2) for i in range(4)} <= got and not {d for d, _ in got} & {5}
+
+
 def test_an_inconsistent_variant_does_not_hide_a_copy(spark):
     item = "Add 3 to the sum of 3 and 9 then take 3 away from the sum of 9 and 3 again"
     mixed = "Add 1 to the sum of 2 and 3 then take 4 away from the sum of 5 and 6 again"
