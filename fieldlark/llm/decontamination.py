@@ -10,9 +10,10 @@ copied, and also when its names and numbers were changed throughout.
 
 Windows of items and of documents have two forms, with names as placeholders and, where that
 differs, with names as plain words, so that copies in lower case, in capitals and in title case
-are found as well.  Windows with fewer than ``LITERAL`` plain
-tokens are left out of the index, they would fit anything.  Items shorter than a window
-are one window of their own length; items under ``LITERAL`` tokens can't be judged.
+are found as well.  Windows with fewer than ``LITERAL`` plain tokens would fit anything
+by their placeholders; they have a third form, all tokens raw, and so match only with the same
+numbers and units.  Items shorter than a window are one window of their own length; items under
+``LITERAL`` tokens, such as a sentence in a script without spaces, are found by their raw tokens.
 
 Native: expressions, a generator and hash joins.  The benchmark's index is broadcast
 when its measured size stays within the bound, and shuffled beyond.  No document is
@@ -36,8 +37,8 @@ COVER = 0.5
 #: Windows in a row on one alignment that count whatever the item's length: 13 tokens.
 RUN = 6
 CONSISTENT = 0.8
-#: Forms of a window: names are placeholders, or plain words.
-TYPED, PLAIN = 0, 1
+#: Forms of a window: names are placeholders, names are plain words, all tokens are raw.
+TYPED, PLAIN, RAW = 0, 1, 2
 #: Units (fixed values).
 UNITS = "km|m|cm|mm|kg|g|mg|l|ml|s|min|h|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|feet|ft|inch(?:es)?|lbs?|pounds?|dollars?|euros?|cents?|percent|degrees?|mph|kmh|meters?|metres?|liters?|litres?|grams?|kilograms?"
 _M = "\x01"
@@ -86,11 +87,23 @@ def _coded(places: Column, form: int) -> Column:
 def _windows(df: DataFrame, key: str, text: str, size: int, out: str) -> DataFrame:
     """Windows as a form ``f`` and places ``p`` in the arrays ``w``, ``v`` and ``r``, with the hash of their tokens."""
     words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text").select(out, "w", "r", "v")
+    u = F.coalesce("v", "w")
+    filled = F.filter(F.sequence(F.lit(1), F.size(u)), lambda i: F.element_at(u, i).startswith(_M))
+    words = words.withColumn("q", F.when(F.col("r").isNotNull() & (F.size(u) > 0), filled))
     # a text shorter than a window has one that fits no full window; a filter here would be pushed below the steps and repeat them
     end = F.greatest(F.size("w") - size + 1, F.lit(1))
     named = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i).startswith(_M + "n"))
     plain = F.when(F.col("v").isNotNull(), F.array_distinct(F.flatten(F.transform(named, lambda i: _places(i, i, size, end)))))
-    forms = [F.sequence(F.lit(1), end), plain]
+    every = F.sequence(F.lit(1), end)
+    least = size - LITERAL + 1  # so many placeholders leave too few plain tokens
+
+    def sparse(i: Column) -> Column:
+        first, last = F.element_at("q", i), F.element_at("q", i + least - 1)
+        return F.when(last - first < size, _places(first, last, size, end)).otherwise(F.array().cast("array<int>"))
+
+    runs = F.sequence(F.lit(1), F.size("q") - least + 1)
+    raw = F.when(F.size("q") >= least, F.array_distinct(F.flatten(F.transform(runs, sparse)))) if least > 0 else every
+    forms = [every, plain, raw]
     rows = words.select(out, "w", "r", "v", F.explode(F.concat(*(_coded(c, f) for f, c in enumerate(forms)))).alias("__c"))
     rows = rows.select(out, "w", "r", "v", (F.col("__c") % 4).alias("f"), F.shiftright("__c", 2).alias("p"))
     return rows.withColumn("hash", F.xxhash64(_tokens(size)))
@@ -98,7 +111,7 @@ def _windows(df: DataFrame, key: str, text: str, size: int, out: str) -> DataFra
 
 def _tokens(size: int) -> Column:
     """The tokens of a window as its form compares them."""
-    return F.when(F.col("f") == TYPED, F.slice("w", F.col("p"), size)).otherwise(F.slice("v", F.col("p"), size))
+    return F.when(F.col("f") == TYPED, F.slice("w", F.col("p"), size)).when(F.col("f") == PLAIN, F.slice("v", F.col("p"), size)).otherwise(_own(size))
 
 
 def _own(size: int) -> Column:
@@ -111,12 +124,12 @@ def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dic
     """By window length, the index (item_id, ip, item window, hash) and its size in bytes."""
     out: dict[int, tuple[DataFrame, int]] = {}
     words = with_tokens(benchmark.select(F.col(text).alias("__text")), "__text")
-    lengths = words.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where(F.col("n") >= LITERAL).distinct()
-    for size in sorted(r[0] for r in lengths.collect()):  # five numbers at most
+    lengths = words.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
+    for size in sorted(r[0] for r in lengths.collect()):  # eight numbers at most
         w = _windows(benchmark, key, text, size, "item_id")
         w = w.where((F.size("w") == size) if size < WINDOW else (F.size("w") >= size))
         w = w.select("item_id", F.col("p").alias("ip"), "f", _tokens(size).alias("iw"), _own(size).alias("ir"), "hash")
-        w = w.where(F.size(F.filter("iw", lambda t: ~t.startswith(_M))) >= LITERAL)
+        w = w.where((F.col("f") == RAW) | (F.size(F.filter("iw", lambda t: ~t.startswith(_M))) >= LITERAL))
         both = w.drop("f").dropDuplicates(["item_id", "ip", "iw"])
         tokens = F.octet_length(F.array_join("iw", " ")) + F.octet_length(F.array_join("ir", " "))
         out[size] = (both, both.agg(F.coalesce(F.sum(tokens + 500), F.lit(0))).first()[0])

@@ -423,6 +423,16 @@ def test_copies_in_capitals_and_title_case(spark):
     assert {(i, 1) for i in range(5)} <= got and {(i, 2) for i in range(4)} <= got and not {d for d, _ in got} & {5}
 
 
+def test_items_of_numbers_and_of_few_tokens(spark):
+    sums, table = "12 + 7 = 19, 8 + 5 = 13, 9 + 6 = 15 which sum is wrong", "1 2 3 5 8 13 21 34 55 89 144"
+    one, two, units = "今天天气很好我们去公园吧", "Quo vadis", "5 km 7 kg Anna 3 min"
+    items = [(1, sums), (2, table), (3, one), (4, two), (5, units)]
+    texts = [f"Solve this: {sums.upper()}? Quickly", f"the row {table} goes on", f"你好。{one}。", "he asked quo vadis, and went", f"so {units}.", "13 + 7 = 19, 9 + 5 = 13, 9 + 6 = 16 what 1 2 3 5 8 14 21 34 56 89 145 vadis quo", one + "吗", "6 km 7 kg Anna 3 min", "so 5 km 7 kg ANNA 3 min"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (8, 5)}
+
+
 def test_an_inconsistent_variant_does_not_hide_a_copy(spark):
     item = "Add 3 to the sum of 3 and 9 then take 3 away from the sum of 9 and 3 again"
     mixed = "Add 1 to the sum of 2 and 3 then take 4 away from the sum of 5 and 6 again"
