@@ -52,7 +52,7 @@ _BETWEEN_NUMBERS = r"(?:(?!(?<=\p{N})[.,](?=\p{N}))[^\p{L}\p{N}\x01])++"
 
 
 def with_tokens(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with arrays of canonical tokens ``w`` and, place for place, of the raw ones ``r`` and of those with names plain ``v``; ``r`` or ``v`` is null if equal to ``w``.
+    """``df`` with arrays of canonical tokens ``w`` and, place for place, of the raw ones ``r``; ``v`` and ``s`` are both with names as plain words.  ``r`` is null if equal to ``w``, ``v`` and ``s`` if no token is a name.
 
     Each step is a projection of its own, so that no pattern runs twice.  Most texts have no
     number and many no placeholder at all; these skip the patterns and the second split.
@@ -67,7 +67,8 @@ def with_tokens(df: DataFrame, text: str) -> DataFrame:
     raw = F.when(F.col("__has"), F.array_remove(F.split(x, _BETWEEN_NUMBERS, -1), ""))
     rows = rows.withColumn("w", F.array_remove(split, "")).withColumn("r", raw)
     plain = F.zip_with("w", "r", lambda w, r: F.when(w == _M + "n", _unnamed(r)).when(w.startswith(_M + "n"), F.regexp_replace(_unnamed(r), _TYPED, "$1")).otherwise(w))
-    return rows.withColumn("v", F.when(F.contains(x, F.lit(_M + "n")), plain)).drop("__x", "__has")
+    some = F.contains(x, F.lit(_M + "n"))
+    return rows.withColumn("v", F.when(some, plain)).withColumn("s", F.when(some, F.transform("r", _unnamed))).drop("__x", "__has")
 
 
 def _unnamed(token: Column) -> Column:
@@ -86,7 +87,7 @@ def _coded(places: Column, form: int) -> Column:
 
 def _windows(df: DataFrame, key: str, text: str, size: int, out: str) -> DataFrame:
     """Windows as a form ``f`` and places ``p`` in the arrays ``w``, ``v`` and ``r``, with the hash of their tokens."""
-    words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text").select(out, "w", "r", "v")
+    words = with_tokens(df.select(F.col(key).alias(out), F.col(text).alias("__text")), "__text").select(out, "w", "r", "v", "s")
     u = F.coalesce("v", "w")
     filled = F.filter(F.sequence(F.lit(1), F.size(u)), lambda i: F.element_at(u, i).startswith(_M))
     words = words.withColumn("q", F.when(F.col("r").isNotNull() & (F.size(u) > 0), filled))
@@ -104,20 +105,19 @@ def _windows(df: DataFrame, key: str, text: str, size: int, out: str) -> DataFra
     runs = F.sequence(F.lit(1), F.size("q") - least + 1)
     raw = F.when(F.size("q") >= least, F.array_distinct(F.flatten(F.transform(runs, sparse)))) if least > 0 else every
     forms = [every, plain, raw]
-    rows = words.select(out, "w", "r", "v", F.explode(F.concat(*(_coded(c, f) for f, c in enumerate(forms)))).alias("__c"))
-    rows = rows.select(out, "w", "r", "v", (F.col("__c") % 4).alias("f"), F.shiftright("__c", 2).alias("p"))
+    rows = words.select(out, "w", "r", "v", "s", F.explode(F.concat(*(_coded(c, f) for f, c in enumerate(forms)))).alias("__c"))
+    rows = rows.select(out, "w", "r", "v", "s", (F.col("__c") % 4).alias("f"), F.shiftright("__c", 2).alias("p"))
     return rows.withColumn("hash", F.xxhash64(_tokens(size)))
 
 
 def _tokens(size: int) -> Column:
-    """The tokens of a window as its form compares them."""
+    """The tokens of a window as its form compares them; without a lambda, which would copy a text's arrays for each window."""
     return F.when(F.col("f") == TYPED, F.slice("w", F.col("p"), size)).when(F.col("f") == PLAIN, F.slice("v", F.col("p"), size)).otherwise(_own(size))
 
 
 def _own(size: int) -> Column:
     """The raw tokens of a window; a name has its mark only in the form that makes it a slot."""
-    raw = F.slice(F.coalesce("r", "w"), F.col("p"), size)
-    return F.when(F.col("f") == TYPED, raw).otherwise(F.transform(raw, _unnamed))
+    return F.when(F.col("f") == TYPED, F.slice(F.coalesce("r", "w"), F.col("p"), size)).otherwise(F.slice(F.coalesce("s", "r", "w"), F.col("p"), size))
 
 
 def index(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> dict[int, tuple[DataFrame, int]]:
@@ -141,7 +141,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     found = None
     for size, (items, size_bytes) in index(benchmark).items():
         w = _windows(docs, key, text, size, "doc_id")
-        same = w.join(small_or_not(items, 1, size_bytes), "hash").where(_tokens(size) == F.col("iw"))
+        # equal in two steps: an equality would make the tokens part of the join's key, to be copied for each window
+        same = w.join(small_or_not(items, 1, size_bytes), "hash").where((_tokens(size) <= F.col("iw")) & (_tokens(size) >= F.col("iw")))
         pair = F.zip_with("ir", _own(size), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
         slots = F.filter(pair, lambda s: s["doc"].startswith(_M))
         one = same.select("doc_id", "item_id", "ip", "p", slots.alias("slots"))
