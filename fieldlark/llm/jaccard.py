@@ -10,8 +10,8 @@ Verification.  Candidates are compared by their whole sets.  At first each class
 the least class of each of its keys, and linked classes are joined to components.  Then
 classes under one key that are still in different components are compared, all of
 them but the pairs within the key's largest component with itself: these are linked
-already.  So the components are those of all links among candidates, and one large
-group of near copies makes no square of pairs.
+already.  So the components are those of all links among candidates.  Where one large group
+of near copies falls into many components at first, these pairs grow with its square.
 
 Defined cases: null text is empty; texts without words are one class; texts shorter than a
 shingle are one shingle; rows that repeat are kept; a null key never is the smallest.
