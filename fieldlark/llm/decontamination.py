@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_not, text_or_empty, without
+from .common import BROADCAST_BYTES, cut, small_or_not, text_or_empty, without
 
 WINDOW = 8
 LITERAL = 4
@@ -169,13 +169,20 @@ def hits(docs: DataFrame, items: DataFrame, sizes: list[int], key: str = "doc_id
     """Matched windows: doc_id, t, item_id, of, ip, p and the slots' fillers (item's, document's)."""
     found = cut(places(docs, items, sizes, key, text))
     size = items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("iw", " ")) + F.octet_length(F.array_join("ir", " ")) + 500), F.lit(0))).first()[0]
-    pairs = found.join(small_or_not(items, 1, size), "h")
+    pairs = found.join(small_or_not(items, 1, size), "h").withColumn("who", F.when(F.col("doc_id").isNull(), F.col("t")))
+    # equal hashes bound the equal windows from above, so what falls short of both thresholds is not read again
+    likely = pairs.groupBy("doc_id", "who", "item_id", "of").agg(F.size(F.collect_set("ip")).alias("n")).where((F.col("n") >= COVER * F.col("of")) | (F.col("n") >= RUN))
+    likely = likely.select(F.col("doc_id").alias("__d"), F.col("who").alias("__w"), F.col("item_id").alias("__i"))
+    pairs = pairs.join(likely, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("who").eqNullSafe(F.col("__w")) & (F.col("item_id") == F.col("__i")), "left_semi")
     one = F.struct("p", "size", "f", "item_id", "of", "ip", "iw", "ir")
     of_doc = cut(pairs.groupBy("doc_id", "t").agg(F.collect_list(one).alias("__pairs")))  # as many as the text has matched windows
-    many = of_doc.agg(F.coalesce(F.sum(F.size("__pairs") * 600 + 100), F.lit(0))).first()[0]
     of_doc = of_doc.withColumnsRenamed({"doc_id": "__d", "t": "__t"})
+    rows, many = of_doc.agg(F.count("*"), F.coalesce(F.sum(F.size("__pairs") * 600 + 100), F.lit(0))).first()
     texts = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("t"), text_or_empty(text).alias("__text"))
-    both = texts.join(small_or_not(of_doc, 1, many), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t")))
+    same_text = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("t") == F.col("__t"))
+    if many > BROADCAST_BYTES:  # their keys at least may be few enough
+        texts = texts.join(small_or_not(of_doc.select("__d", "__t"), rows, 64), same_text, "left_semi")
+    both = texts.join(small_or_not(of_doc, 1, many), same_text)
     words = with_tokens(both.select("doc_id", "t", "__text", "__pairs"), "__text")
     rows = words.select("doc_id", "t", "w", "v", "r", "s", F.explode("__pairs").alias("__one")).select("doc_id", "t", "w", "v", "r", "s", "__one.*")
     same = rows.where(_window("p", "size") == F.col("iw"))
