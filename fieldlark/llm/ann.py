@@ -11,13 +11,18 @@ precision, on the original vectors.
 Equal vectors are one class with its smallest ids, as many as a result can hold, so a
 third of all rows in one vector neither crowds out others nor loads one task.
 
-Only the sample (``SAMPLE`` vectors at most) and one block of queries at a time
-(``BLOCK``) reach the driver; every vector is indexed.
+The codes of all vectors are scanned for each block of queries: random vectors of many dimensions have
+no cells to prune by, and a pass over the codes, 28 bytes a vector, keeps all executors busy whatever the
+number of blocks.  Only the sample (``SAMPLE`` vectors at most) and one block of queries at a time
+(``BLOCK``) reach the driver; every vector is indexed.  A block's result is written to the
+shared folder, so neither the plan nor the lineage grows with the queries.
 
 Defined cases: vectors that are null, empty, zero, or hold a null, a NaN or an infinity take
 no part, nor do those whose dimension is not the commonest of the sample; a null id
-takes no part; equal distances go to the smaller id; an id that repeats counts for each of its
-vectors; a table without queries gives no rows.
+takes no part; equal distances go to the smaller id; a row that repeats counts once, as a query and as a
+candidate; an id on several vectors is a query and a candidate for each of them, but never
+a candidate for a query of its own id; a table without queries, or an empty one, gives no rows;
+extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, new_folder
 
 BOOKS = 24
 WORDS = 256
@@ -109,11 +114,12 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6
 
 
 def classes(vectors: DataFrame, key: str, vec: str, top: int) -> DataFrame:
-    """class id (its smallest key), vec, and the ``top + 1`` smallest keys of each distinct vector."""
+    """Class id (``cid``, its smallest key, and ``nth``, which tells vectors of one smallest key apart), vec, and the ``top + 1`` smallest keys of each distinct vector."""
+    rows = vectors.select(F.col(key).cast("long").alias("__key"), F.col(vec).alias("__vec")).where(F.col("__key").isNotNull() & usable(F.col("__vec"))).distinct()
     rank = F.row_number().over(Window.partitionBy("__vec").orderBy("__key"))
-    rows = vectors.select(F.col(key).cast("long").alias("__key"), F.col(vec).alias("__vec")).where(F.col("__key").isNotNull() & usable(F.col("__vec")))
     few = rows.withColumn("__r", rank).where(F.col("__r") <= top + 1)
-    return few.groupBy("__vec").agg(F.array_sort(F.collect_list("__key")).alias("ids")).select(F.col("ids")[0].alias("cid"), F.col("__vec").alias("vec"), "ids")
+    each = few.groupBy("__vec").agg(F.array_sort(F.collect_list("__key")).alias("ids")).select(F.col("ids")[0].alias("cid"), F.col("__vec").alias("vec"), "ids")
+    return each.withColumn("nth", F.row_number().over(Window.partitionBy("cid").orderBy("vec")).cast("int"))
 
 
 def _encoder(books):
@@ -127,23 +133,23 @@ def _encoder(books):
                 codes += [r.tobytes() for r in part]
                 norms.append((y * y).sum(1))
             norm = np.concatenate(norms) if norms else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(norm.astype(np.float32), pa.float32())], names=["cid", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes, pa.binary()), pa.array(norm.astype(np.float32), pa.float32())], names=["cid", "nth", "codes", "norm"])
 
     return run
 
 
 def _searcher(books, block, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, (qids, q) = books.value, block.value
+        c, q = books.value, block.value.astype(np.float32)
         tables = np.stack([q @ b.T for b in c], 1)  # queries, books, words
         best = np.full((len(q), rerank), np.inf, np.float32)
-        ids = np.full((len(q), rerank), np.iinfo(np.int64).max)
+        ids, nths = np.zeros((len(q), rerank), np.int64), np.zeros((len(q), rerank), np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                cid = part.column(0).to_numpy(zero_copy_only=False)
-                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(len(cid), -1)
-                norm = part.column(2).to_numpy(zero_copy_only=False)
+                cid, nth = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(cid), -1)
+                norm = part.column(3).to_numpy(zero_copy_only=False)
                 for lo in range(0, len(q), 256):
                     t = tables[lo : lo + 256]
                     s = np.broadcast_to(norm, (len(t), len(cid))).copy()
@@ -152,11 +158,12 @@ def _searcher(books, block, rerank: int):
                     every = np.concatenate([best[lo : lo + 256], s], 1)
                     take = np.argpartition(every, rerank - 1, 1)[:, :rerank]
                     rows = np.arange(len(t))[:, None]
-                    known = np.concatenate([ids[lo : lo + 256], np.broadcast_to(cid, (len(t), len(cid)))], 1)
-                    best[lo : lo + 256], ids[lo : lo + 256] = every[rows, take], known[rows, take]
+                    for kept, new in ((ids, cid), (nths, nth)):
+                        kept[lo : lo + 256] = np.concatenate([kept[lo : lo + 256], np.broadcast_to(new, (len(t), len(cid)))], 1)[rows, take]
+                    best[lo : lo + 256] = every[rows, take]
         fine = np.isfinite(best)
-        row = np.nonzero(fine)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(ids[fine]), pa.array(best[fine])], names=["query_id", "cid", "approx"])
+        row = np.nonzero(fine)[0].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[fine]), pa.array(nths[fine]), pa.array(best[fine])], names=["q", "cid", "nth", "approx"])
 
     return run
 
@@ -167,44 +174,46 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str
     out_schema = f"query_id long, rank int, {key} long, score double"
     every = cut(classes(vectors, key, vec, top))
     taken = every.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(sample).toPandas()["vec"]
-    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec")).where(F.col("id").isNotNull() & usable(F.col("vec"))).distinct()
     if not len(taken):
         return spark.createDataFrame([], out_schema)
     dim = int(np.bincount([len(v) for v in taken]).argmax())
-    every, asked = every.where(F.size("vec") == dim), asked.where(F.size("vec") == dim)
+    every, asked = every.where(F.size("vec") == dim), cut(asked.where(F.size("vec") == dim))
     books = spark.sparkContext.broadcast(train(np.stack([np.asarray(v, np.float32) for v in taken if len(v) == dim])))
-    codes = cut(every.select("cid", F.col("vec").cast("array<float>").alias("vec")).mapInArrow(_encoder(books), "cid long, codes binary, norm float"))
-    stream, found = asked.toLocalIterator(), None
+    codes = cut(every.select("cid", F.col("vec").cast("array<float>").alias("vec"), "nth").mapInArrow(_encoder(books), "cid long, nth int, codes binary, norm float"))
+    stream, folder, blocks = asked.toLocalIterator(), new_folder(spark, "ann"), 0
     while rows := list(islice(stream, block)):
-        ids = np.array([r[0] for r in rows], np.int64)
-        q = np.array([r[1] for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((ids, q.astype(np.float32)))
-        near = codes.mapInArrow(_searcher(books, shared, rerank), "query_id long, cid long, approx float")
-        first = Window.partitionBy("query_id").orderBy("approx", "cid")
-        chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("query_id", "cid")
-        # BLOCK times RERANK rows of two longs: bounded by parameters
-        pairs = every.join(F.broadcast(chosen), "cid").select("query_id", "ids", F.col("vec").cast("array<double>").alias("vec"))
-        exact = cut(_exact(pairs, spark.sparkContext.broadcast({int(i): v for i, v in zip(ids, q)}), top))
-        found = exact if found is None else found.union(exact)
-    if found is None:
+        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        shared = spark.sparkContext.broadcast(q)
+        near = codes.mapInArrow(_searcher(books, shared, rerank), "q int, cid long, nth int, approx float")
+        first = Window.partitionBy("q").orderBy("approx", "cid", "nth")
+        chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("q", "cid", "nth")
+        # BLOCK times RERANK rows of three numbers: bounded by parameters
+        pairs = every.join(F.broadcast(chosen), ["cid", "nth"]).select("q", "ids", F.col("vec").cast("array<double>").alias("vec"))
+        _exact(pairs, spark.sparkContext.broadcast((ids, q)), top).withColumn("block", F.lit(blocks)).write.parquet(f"{folder}/{blocks}")
+        shared.unpersist()
+        blocks += 1
+    if not blocks:
         return spark.createDataFrame([], out_schema)
-    order = Window.partitionBy("query_id").orderBy("score", "id")
+    found = spark.read.option("recursiveFileLookup", "true").schema("query_id long, q int, id long, score double, block int").parquet(folder)
+    order = Window.partitionBy("block", "q").orderBy("score", "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
 def _exact(pairs: DataFrame, queries, top: int) -> DataFrame:
-    """query_id, id and exact score, ids of a class expanded and the query's own left out."""
+    """query_id, q (the query's number in its block), id and exact score of the best, ids of a class expanded and the query's own left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = queries.value
+        ids, vectors = queries.value
         for batch in batches:
-            q = batch.column(0).to_pylist()
-            v = batch.column(2).to_pylist()
-            score = [float(np.sqrt(((of[i] - np.array(x)) ** 2).sum())) for i, x in zip(q, v)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "ids", "score"])
-
-    scored = pairs.mapInArrow(run, "query_id long, ids array<long>, score double")
-    rows = scored.select("query_id", F.explode("ids").alias("id"), "score").where("id <> query_id")
-    best = Window.partitionBy("query_id").orderBy("score", "id")
+            q = batch.column(0).to_numpy(zero_copy_only=False)
+            score = np.zeros(0)
+            if len(q):
+                score = np.sqrt(((vectors[q] - _matrix(batch.column(2))) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column(0), batch.column(1), pa.array(score, pa.float64())], names=["query_id", "q", "ids", "score"])
+
+    scored = pairs.mapInArrow(run, "query_id long, q int, ids array<long>, score double")
+    rows = scored.select("query_id", "q", F.explode("ids").alias("id"), "score").where("id <> query_id")
+    best = Window.partitionBy("q").orderBy("score", "id")
     return rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).drop("r")
