@@ -5,16 +5,18 @@ words (1- and 2-grams), word shapes (1- to 3-grams) and the share of bigrams, an
 skip-bigrams, that repeat a word, in steps.  A score is the logistic function of a sparse dot product with
 the weights, divided by the root of the number of features.
 
-Training reads a bounded sample: ``max_rows`` labelled rows at most, the first
-by a hash of their id, and of them as many as have ``max_features`` features
-together.  One task keeps the sample's features, so its memory is bounded by
+Training reads a bounded sample: ``max_rows`` labels at most, the first
+by a hash of their id, with one text for each, and of them as many as have ``max_features`` features
+together.  Texts of one id are reduced before they move, so a label whose id half of
+all documents have sends one.  One task keeps the sample's features, so its memory is bounded by
 these two parameters, whatever the size of the corpus.  The model is ``2**BITS``
 floats; it reaches the scoring tasks as a broadcast of that fixed size.
 
 Defined cases: null and empty texts have one constant feature and so get a score
 like every other; labels that are null take no part; without labelled rows every
 score is 0.5; repeated rows are scored each; an id with several labels is trained
-on each of them; extra columns are not looked at.
+on each of them, an id with several texts on the one with the least hash; words are read whole, whatever
+their length; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import text_or_empty
+from .common import cut, small_or_not, text_or_empty
 
 BITS = 18
 MASK = np.uint32((1 << BITS) - 1)
@@ -47,7 +49,7 @@ _WORDS = re.compile(r"\n|[^\s]+")
 def _shape(word: str) -> int:
     """Hash of a word's shape: runs of capitals, letters, digits and the signs themselves."""
     out = []
-    for c in word[:24]:
+    for c in word:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -129,10 +131,15 @@ def _trainer(max_features: int):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> np.ndarray | None:
     """Weights of a model for ``label``; None without labelled rows.  ``labels`` must hold none of the rows held out."""
-    order = F.xxhash64(F.col(key))
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__k"), "__k", "__y").limit(max_rows)
-    rows = docs.select(F.col(key).alias("__d"), text_or_empty(text).alias("__t"), order.alias("__o")).join(F.broadcast(chosen), F.col("__d") == F.col("__k"))
-    ordered = rows.repartition(1).sortWithinPartitions("__o", "__k", "__y", F.xxhash64("__t"))
+    chosen = cut(chosen)
+    texts = docs.select(F.col(key).alias("__d"), text_or_empty(text).alias("__t"))
+    asked = chosen.select("__k").distinct()
+    mine = texts.join(small_or_not(asked, max_rows, 64), F.col("__d") == F.col("__k"), "left_semi").withColumn("__h", F.xxhash64("__t"))
+    # one text for each id: partial aggregation leaves one in each task; equal hashes go to the lesser text
+    one = mine.groupBy("__d").agg(F.min(F.struct("__h", "__t"))["__t"].alias("__t"))
+    rows = one.join(small_or_not(chosen, max_rows, 64), F.col("__d") == F.col("__k"))
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("__k"), "__k", "__y")
     got = ordered.select("__t", "__y").mapInArrow(_trainer(max_features), "weights binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else None
 
