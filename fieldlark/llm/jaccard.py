@@ -1,20 +1,24 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of word shingles.
+"""SimHash near-duplicates at a Jaccard similarity, for the pipeline.
 
 Documents link when their sets of five-word shingles have a similarity of ``LEAST`` or
 more.  Documents with one and the same set are one class, so copies cost nothing.
 
-Candidates.  Classes that agree in all ``ROWS`` minima of one of ``BANDS`` bands share a
-key.  A pair at similarity 0.8 shares none with probability (1 - 0.8^5)^40, about 1e-7.
+Candidates.  First those of ``simhash``: classes whose fingerprints (over five-word shingles) are
+found within two bits by Golay keys.  At a similarity of 0.8 two fingerprints differ in about ten of 64
+bits, where no choice of Golay keys is both complete and selective, so minima complete them: classes
+that agree in all ``ROWS`` minima of one of ``BANDS`` bands share a key.  A pair at
+similarity 0.8 shares none with probability (1 - 0.8^5)^40, about 1e-7.
 
-Verification.  Candidates are compared by their whole sets.  At first each class only meets
-the least class of each of its keys, and linked classes are joined to components.  Then
-classes under one key that are still in different components are compared, all of
-them but the pairs within the key's largest component with itself: these are linked
-already.  So the components are those of all links among candidates.  Where one large group
-of near copies falls into many components at first, these pairs grow with its square.
+Verification.  Candidates are compared by their whole sets.  At first each class only meets the
+pivot of each of its keys, the member that shares most keys with others, and linked classes are joined to
+components.  Then, under a key that still has several components, the members outside the
+largest one meet all members in blocks of ``CHUNK`` sets; a block returns links only, so no
+list of pairs is ever made.  So the components are those of all links among candidates.  The
+work of the blocks is the product of a key's members and of those outside its largest component.
 
 Defined cases: null text is empty; texts without words are one class; texts shorter than a
-shingle are one shingle; rows that repeat are kept; a null key never is the smallest.
+shingle are one shingle; rows that repeat are kept; a null key never is the smallest; very long
+texts are read whole; an empty table gives no rows; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +28,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import cut, small_or_not, text_or_empty, without
 from .components import components
+from .simhash import SEED, majority, shingle_hashes
+from .simhash import links as near_fingerprints
 
-SEED = 42
 WORDS = 5
 LEAST = 0.8
 ROWS = 5
 BANDS = 40
+#: Sets in a block, and shingles in all of them.
+CHUNK = 256
+CHUNK_SHINGLES = 1 << 18
 _BLOCK = 1 << 11
 _RNG = np.random.default_rng(SEED)
 _FACTOR = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,12 +52,7 @@ _FLIP = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), dtype=np.uint64)
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of one whole text's shingles."""
-    tokens = text.encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    size = min(words, len(tokens))
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.array([digest(join(r), SEED) for r in zip(*(tokens[i:] for i in range(size)))], dtype=np.uint64))
+    return np.unique(shingle_hashes(text, words))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -71,19 +74,23 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, class ``cls``, number of shingles ``n`` and the keys ``bands``, one row for each row of ``docs``."""
+    """key, class ``cls``, number of shingles ``n``, fingerprint ``fp`` and the keys ``bands``, one row for each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, n, bands = [], [], []
+            cls, n, fps, bands = [], [], [], []
             for t in batch.column(1):
-                h = shingles(t.as_py())
+                every = shingle_hashes(t.as_py(), WORDS)
+                h = np.unique(every)
                 cls.append(_class(h))
                 n.append(len(h))
+                fps.append(majority(every))
                 bands.append(band_keys(h) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(n, pa.int64()), _lists(bands)], names=[key, "cls", "n", "bands"])
+            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int64()), signed[1], _lists(bands)], names=[key, "cls", "n", "fp", "bands"])
 
-    schema = StructType([*docs.select(key).schema.fields, StructField("cls", LongType()), StructField("n", LongType()), StructField("bands", ArrayType(LongType()))])
+    fields = [StructField(name, LongType()) for name in ("cls", "n", "fp")]
+    schema = StructType([*docs.select(key).schema.fields, *fields, StructField("bands", ArrayType(LongType()))])
     return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(run, schema)
 
 
@@ -95,46 +102,110 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(cls), _lists([h.view(np.int64) for h in parts])], names=["cls", "hashes"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
-    """The (a, b) of ``pairs`` whose similarity is ``LEAST`` or more; ``reps`` has a document's key for each class.
+def sets_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+    """cls and its set ``hashes``; ``reps`` has a document's key for each class.
 
-    Texts are only cut into shingles again where their class has a candidate.
+    Texts are only cut into shingles again for classes that share a key.
     """
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    keys = cut(reps.join(needed, "cls").select("least").distinct())
+    needed = reps.join(classes, "cls").select("least").distinct()
+    keys = cut(needed)
     texts = docs.select(key, text_or_empty(text).alias("__t"))
     some = texts.join(small_or_not(keys, keys.count(), 64), F.col(key).eqNullSafe(F.col("least")), "left_semi")
-    sets = cut(some.select("__t").mapInArrow(_sets, "cls long, hashes array<long>").dropDuplicates(["cls"]).join(needed, "cls"))
-    one = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("ha"))
+    return some.select("__t").mapInArrow(_sets, "cls long, hashes array<long>").dropDuplicates(["cls"]).join(classes, "cls", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose similarity is ``LEAST`` or more; few classes are an ``a``."""
+    pivots = pairs.select(F.col("a").alias("cls")).distinct()
+    one = cut(sets.join(pivots, "cls", "left_semi").select(F.col("cls").alias("a"), F.col("hashes").alias("ha")))
+    size = one.agg(F.coalesce(F.sum(F.size("ha") * 8 + 100), F.lit(0))).first()[0]
     two = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(one, "a").join(two, "b").where(F.least(F.size("ha"), F.size("hb")) >= LEAST * F.greatest(F.size("ha"), F.size("hb")))
+    both = pairs.join(two, "b").join(small_or_not(one, 1, size), "a").where(F.least(F.size("ha"), F.size("hb")) * 100 >= round(LEAST * 100) * F.greatest(F.size("ha"), F.size("hb")))
     common = F.size(F.array_intersect("ha", "hb"))
     # c / (a + b - c) >= LEAST in whole numbers, so that a similarity of just LEAST counts
     return both.where(common * 100 >= round(LEAST * 100) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
+def block_links(rest: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links between the (class, root, set) of ``rest`` and of ``members`` whose roots differ.
+
+    Each set of ``rest`` looks its shingles up in one sorted list of all members' shingles.
+    """
+    sizes = np.array([len(h) for _, _, h in members])
+    every, owner = np.concatenate([h for _, _, h in members]), np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    roots, out = np.array([r for _, r, _ in members]), []
+    for cls, root, h in rest:
+        low, high = np.searchsorted(every, h, "left"), np.searchsorted(every, h, "right")
+        many = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        common = np.bincount(owner[at], minlength=len(members))
+        good = (common * 100 >= round(LEAST * 100) * (len(h) + sizes - common)) & (roots != root)
+        out += [(cls, members[i][0]) for i in np.flatnonzero(good)]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [], []
+        for group in batch.column(0):
+            flat = group.values
+            side, cls, root = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lists = flat.field(3)
+            parts = [(int(cls[i]), int(root[i]), lists[i].values.to_numpy(zero_copy_only=False)) for i in range(len(flat))]
+            for x, y in block_links([p for p, s in zip(parts, side) if s == 0], [p for p, s in zip(parts, side) if s == 1]):
+                a.append(x)
+                b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def across(of: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between the components that meet under one key; ``of``: key, cls, n, root."""
+    parts = of.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    # kept, as a tie must not be settled in two ways
+    top = F.max(F.struct("c", "w", "root"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("w").alias("w"), top.alias("top")).where("roots > 1")
+
+    def chunks(count: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(count / CHUNK), F.ceil(weight / CHUNK_SHINGLES), F.lit(1)).cast("int")
+
+    mixed = cut(mixed.select("key", F.col("top.root").alias("most"), chunks(F.col("c"), F.col("w")).alias("mcs"), chunks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("rcs")))
+    left = of.join(mixed, "key").join(sets, "cls")
+    mine = F.pmod(F.xxhash64("cls"), F.col("mcs")).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("rcs")).cast("int")
+    one = F.struct(F.lit(0).alias("side"), "cls", "root", "hashes")
+    rest = left.where("root <> most").select("key", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), one.alias("one"))
+    members = left.select("key", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), one.withField("side", F.lit(1)).alias("one"))
+    grouped = rest.union(members).groupBy("key", "rc", "mc").agg(F.collect_list("one").alias("all"))  # two chunks at most
+    return grouped.where(F.exists("all", lambda x: x["side"] == 0) & F.exists("all", lambda x: x["side"] == 1)).select("all").mapInArrow(_blocks, "a long, b long")
+
+
 def links(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links; ``found`` are the signatures."""
     reps = found.groupBy("cls").agg(F.min(key).alias("least"))
+    # classes with near fingerprints, by Golay keys
+    prints = cut(found.groupBy("fp", "cls").agg(F.first("n").alias("n")))
+    first = cut(prints.groupBy("fp").agg(F.min("cls").alias("a")))
+    same = prints.join(first, "fp").select("a", F.col("cls").alias("b"))
+    edges = near_fingerprints(first).distinct()
+    apart = edges.join(first.select(F.col("fp").alias("a"), F.col("a").alias("ca")), "a").join(first.select(F.col("fp").alias("b"), F.col("a").alias("cb")), "b")
+    close = same.union(apart.select("ca", "cb")).where("a <> b")
+    # classes that share a key of minima
     keys = found.select("cls", "n", F.explode("bands").alias("key")).distinct()
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("cls").alias("pivot")).where("members > 1")
-    shared = cut(keys.join(sizes, "key").select("key", "cls", "n", "pivot"))
-    stars = cut(shared.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
-    near = cut(verified(stars, docs, reps, key, text))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = keys.join(sizes, "key").withColumn("degree", F.sum("members").over(Window.partitionBy("cls")))  # a class has few keys
+    shared = cut(shared.select("key", "cls", "n", "degree"))
+    pivots = shared.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("pivot"))
+    stars = shared.join(pivots, "key").where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    pairs = cut(stars.union(close).distinct())
+    classes = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    sets = cut(sets_of(classes, docs, reps, key, text))
+    near = cut(verified(pairs, sets))
     # what is still apart under one key
     roots = components(near)
     of = shared.join(small_or_not(roots, roots.count(), 32), shared["cls"] == roots["node"], "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    of = cut(of)
-    parts = of.groupBy("key", "root").agg(F.count("*").alias("members"))
-    # kept, as a tie must not be settled in two ways
-    mixed = cut(parts.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", "members").alias("most")).where("roots > 1").select("key", "most"))
-    left = of.join(mixed, "key")
-    rest = left.where("root <> most").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = left.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "most")
-    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
-    crossed = rest.join(other, "key").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = cut(crossed.join(stars, ["a", "b"], "left_anti"))
-    return near.union(verified(crossed, docs, reps, key, text))
+    return near.union(across(cut(of), sets))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

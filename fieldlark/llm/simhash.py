@@ -19,7 +19,8 @@ bit; such a group has 65 members at most, all of which link to each other.
 
 Defined cases: null text is empty and has fingerprint zero, like a text without
 words, and links like any other; rows that repeat are kept; a null doc_id
-never is the smallest; an empty table gives no rows.
+never is the smallest; an empty table gives no rows; very long texts are read whole, in
+blocks of shingles; extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,20 +49,28 @@ GOLAY = 0b110001110101
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Unsigned fingerprint of one whole text."""
+def shingle_hashes(text: str, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle of one whole text in its order, repeats included; empty without words."""
     tokens = text.encode("utf-8", "replace").lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     size = min(words, len(tokens))
-    count, total = np.zeros(64, np.int64), len(tokens) - size + 1
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, total, _BLOCK):
-        part = tokens[at : at + _BLOCK + size - 1]
-        runs = zip(*(part[i:] for i in range(size)))
-        h = np.array([digest(join(r), SEED) for r in runs], dtype="<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(count * 2 > total, bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(join(r), SEED) for r in zip(*(tokens[i:] for i in range(size)))), np.uint64, len(tokens) - size + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are those set in over half of ``hashes``; zero for none."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        part = np.ascontiguousarray(hashes[at : at + _BLOCK], "<u8")
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """Unsigned fingerprint of one whole text."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", words: int = WORDS) -> DataFrame:
