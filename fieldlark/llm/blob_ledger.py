@@ -6,14 +6,19 @@ a rule of that version has seen a blob; a run scans only the pairs of blob and
 rule version that the ledger lacks, and joins the findings, old and new, back
 to all paths.
 
-Shuffles: on a first run the distinct blobs (their text once, copies are merged before
-the shuffle); with a ledger the ids come first, and only texts of unseen blobs move as long as
-their counted ids can be broadcast.  The last join moves the narrow table of paths, whose
+``run`` is one increment: it scans what a stored ledger lacks and appends to it.  The ledger is a Parquet
+folder in shared storage; an increment that fails leaves it as it was, and the next one
+scans what is still unseen.
+
+Shuffles: the ids come first; the text of an unseen blob moves once, copies are merged before
+that shuffle, and texts of seen blobs stay where they are as long as the counted ids of the unseen
+can be broadcast.  The last join moves the narrow table of paths, whose
 hot keys adaptive execution can split.
 
 Defined cases: null text is the empty text; an empty table gives no rows; rows
 that repeat are kept, each with its findings; extra columns of the input are not
-looked at, whatever their names; very long texts are scanned whole in linear time.
+looked at, whatever their names; very long texts are scanned whole in linear time; a private
+key without its last line reaches to the end of the text.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_or_not, span_digest, text_or_empty
+from .common import BROADCAST_BYTES, cut, small_or_not, span_digest, text_or_empty
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob_id string, rule string, version int, spans {SPANS}"
@@ -44,12 +49,13 @@ class Rule:
     needs: str = ""
 
 
+_LABEL = "(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
 #: The first three are the base kinds; the order is the order of kinds at equal starts.
 RULES = (
     Rule("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 6, 2),
     Rule("access", r"AKIA[A-Z0-9]{16,}", needs="AKIA"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", needs="PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN {_LABEL}(?:[\s\S]*?-----END {_LABEL}|[\s\S]*)", needs="PRIVATE KEY"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", needs="gh"),
 )
 BASE = ("assign", "access", "hex")
@@ -96,7 +102,10 @@ def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | Non
         done = ledger.where(F.array_contains(current, seen)).groupBy("blob_id").agg(F.collect_set("rule").alias("done"))
         left = F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))
         unseen = cut(blobs.select("blob_id").distinct().join(done, "blob_id", "left").select("blob_id", left.alias("pending")).where(F.size("pending") > 0))
-        blobs = blobs.join(small_or_not(unseen, unseen.count(), 300), "blob_id").dropDuplicates(["blob_id"])
+        if unseen.count() * 300 <= BROADCAST_BYTES:
+            blobs = blobs.join(F.broadcast(unseen), "blob_id").dropDuplicates(["blob_id"])
+        else:  # copies are merged before the shuffle, and the join needs no other
+            blobs = blobs.dropDuplicates(["blob_id"]).join(unseen, "blob_id")
     return blobs.select("blob_id", "blob", "pending").mapInArrow(_scanner(rules), f"blob_id string, pending array<string>, spans {SPANS}")
 
 
@@ -110,11 +119,21 @@ def ledger_rows(scans: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def findings(scans: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob_id and all its spans by start and then kind; only blobs with spans."""
     new = scans.where(F.size("spans") > 0).select("blob_id", "spans")
-    if ledger is None:
-        return new
-    current = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
-    old = ledger.where(F.array_contains(current, F.concat_ws("@", "rule", F.col("version").cast("string"))) & (F.size("spans") > 0)).select("blob_id", "spans")
-    both = new.union(old).groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return new if ledger is None else _merged(new.union(_current(ledger, rules)), rules)
+
+
+def seen_findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The same from a ledger alone."""
+    return _merged(_current(ledger, rules), rules)
+
+
+def _current(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    versions = F.array(*(F.lit(f"{r.kind}@{r.version}") for r in rules))
+    return ledger.where((F.size("spans") > 0) & F.array_contains(versions, F.concat_ws("@", "rule", F.col("version").cast("string")))).select("blob_id", "spans")
+
+
+def _merged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    both = rows.groupBy("blob_id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))))
     keyed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("r"), s["kind"].alias("kind"), s["end"].alias("end")))
     back = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
@@ -128,6 +147,27 @@ def scan_paths(versions: DataFrame, keys: list[str], text: str = "text", ledger:
     return joined.select(*keys, "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger kept in ``folder``; an empty one where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(LEDGER).parquet(folder) if there else spark.createDataFrame([], LEDGER)
+
+
+def run(versions: DataFrame, folder: str, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One increment: scans the pairs of blob and rule version that the ledger in ``folder`` lacks, appends them and returns the ledger."""
+    spark = versions.sparkSession
+    ledger_rows(scan_unseen(versions, text, stored(spark, folder), rules), rules).write.mode("append").parquet(folder)
+    return stored(spark, folder)
+
+
+def from_ledger(versions: DataFrame, keys: list[str], ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """keys, blob_id, spans of every version, all of whose blobs the ledger has."""
+    found = seen_findings(ledger, rules)
+    joined = paths_of(versions, keys, text).join(found, "blob_id", "left")
+    return joined.select(*keys, "blob_id", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
 def count_kind(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -146,8 +186,10 @@ def redact(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
     """``docs`` with each secret replaced by ``[kind]``; overlapping spans become one, named after the first.
 
     Columns stay as they are, but for ``text`` and, if there is one, ``n_chars``.  A null text stays null.
+    A ``ledger`` must have all blobs of ``docs`` (see ``run``); without one all are scanned.
     """
-    found = cut(findings(scan_unseen(docs, text, ledger, rules), ledger, rules).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")))
+    every = findings(scan_unseen(docs, text, None, rules), None, rules) if ledger is None else seen_findings(ledger, rules)
+    found = cut(every.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")))
     size = found.agg(F.coalesce(F.sum(F.size("__spans") * 64 + 100), F.lit(0))).first()[0]
     keyed = docs.withColumn("__blob", F.sha2(text_or_empty(text), 256))
     joined = keyed.join(small_or_not(found, 1, size), "__blob", "left")  # texts are only shuffled when the findings are too many to broadcast

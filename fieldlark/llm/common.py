@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,18 @@ PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞€]*")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only in local mode and where that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or tempfile.mkdtemp(prefix="shared-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
