@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,8 @@ UNREADABLE = "json decode error - rerun later"
 FALLBACK = ("unknown", "page_error")
 #: Quotes that become plain ones (fixed values).
 _QUOTES = str.maketrans({c: '"' for c in "“”„‟"} | {c: "'" for c in "‘’‚‛"})
+#: Strings, closed or open to the end of the text, and braces.
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.DOTALL)
 _BAD_UNICODE = re.compile(r"\\u(?![0-9a-fA-F]{4})")
 _BAD_ESCAPE = re.compile(r'\\(?!["\\/bfnrtu])')
 
@@ -52,27 +55,11 @@ def repaired_json(text: pd.Series) -> pd.Series:
 
 
 def first_object(text: str) -> str | None:
-    """The first balanced ``{...}``, with braces in strings and escapes honoured."""
-    depth, begin, quoted, escaped = 0, -1, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif c == "\\":
-                escaped = True
-            elif c == '"':
-                quoted = False
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            if not depth:
-                begin = i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                return text[begin : i + 1]
-    return None
+    """The first balanced ``{...}``: a quoted string is one token, so that only braces outside of strings count."""
+    begin = text.find("{")
+    braces = [m for m in _TOKENS.finditer(text, begin) if m[0] in "{}"] if begin >= 0 else []
+    depths = accumulate(1 if m[0] == "{" else -1 for m in braces)
+    return next((text[begin : m.end()] for m, depth in zip(braces, depths) if depth == 0), None)
 
 
 @F.pandas_udf(StringType())

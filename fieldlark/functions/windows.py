@@ -1,56 +1,91 @@
-"""Context windows around a phrase: a Pandas function over texts, and the relational merge of intervals."""
+"""Context windows around a phrase, as expressions over one text, and the relational merge of intervals."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUFFER = 1500
 SEPARATION = 100
-OVERLAP = 0.5
+#: Code points around a cut that are searched for white space before the whole text is.
+NEAR = 64
+
+
+def phrase_pattern(phrase: Column) -> Column:
+    """A pattern for the phrase's whole words in any case, with any white space between them; null for a blank phrase."""
+    literal = F.regexp_replace(F.regexp_replace(phrase, r"(?U)^\s+|\s+$", ""), r"(?U)[^\w\s]", r"\\$0")
+    return F.when(literal != "", F.concat(F.lit(r"(?U)(?i)\b"), F.regexp_replace(literal, r"(?U)\s+", r"\\s+"), F.lit(r"\b")))
+
+
+def places(text: Column, pattern: Column) -> Column:
+    """Start and end of every match, in code points: lengths of the parts between matches, added up."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        start = acc["at"] + F.char_length(part["gap"])
+        end = start + F.char_length(part["hit"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(F.filter(parts, lambda p: p["hit"].isNotNull()), zero, step, lambda acc: acc["out"])
+
+
+def _back(text: Column, at: Column) -> Column:
+    """Place of the last white space up to ``at``, or 0."""
+    def within(n: Column) -> Column:
+        piece = F.substring(text, at + 2 - n, n)
+        word = F.char_length(F.regexp_extract(piece, r"(?U)\S*+\z", 0))
+        return F.when(word < n, at - word)
+
+    return F.coalesce(within(F.least(F.lit(NEAR), at + 1)), within(at + 1), F.lit(0))
+
 
+def _forth(text: Column, at: Column, size: Column) -> Column:
+    """The place after the first white space from the place before ``at`` on, or the text's end."""
+    def within(n: Column) -> Column:
+        word = F.char_length(F.regexp_extract(F.substring(text, at, n), r"(?U)^\S*+", 0))
+        return F.when(word < n, at + word)
 
-def context_windows(text: str | None, phrase: str | None, buffer: int = BUFFER, separation: int = SEPARATION, overlap: float = OVERLAP, limit: int | None = None) -> list[str]:
-    """Snippets of ``text`` around ``phrase``: whole words, any case and white space between them.
+    left = size - at + 1
+    return F.coalesce(within(F.least(F.lit(NEAR), left)), within(left), size)
 
-    A match grows by ``buffer`` to both sides and then to the next white space; snippets that
-    overlap much, or lie no more than ``separation`` apart, become one.
+
+def windows_column(text: Column, phrase: Column, buffer: int = BUFFER, separation: int = SEPARATION, limit: int | None = None) -> Column:
+    """Array of snippets of ``text`` around ``phrase``; empty for a null or blank phrase and a null text.
+
+    A match grows by ``buffer`` to both sides and then to the next white space.  Matches come in
+    order, and so do both ends of what they grow to; so snippets that overlap or lie no more than ``separation``
+    apart become one wherever the gap between neighbours is that small.
     """
-    words = (phrase or "").split()
-    if not words or not text:
-        return []
-    pattern = re.compile(r"\b" + r"\s+".join(map(re.escape, words)) + r"\b", re.IGNORECASE)
-    spans: list[list[int]] = []
-    for m in pattern.finditer(text):
-        start, end = max(0, m.start() - buffer), min(len(text), m.end() + buffer)
-        while start > 0 and not text[start].isspace():
-            start -= 1
-        while end < len(text) and not text[end - 1].isspace():
-            end += 1
-        spans.append([start, end])
-    merged: list[list[int]] = []
-    for span in sorted(spans):
-        if merged:
-            last = merged[-1]
-            common = min(last[1], span[1]) - span[0]
-            least = max(1, min(last[1] - last[0], span[1] - span[0]))
-            if common / least > overlap or span[0] - last[1] <= max(0, separation):
-                last[1] = max(last[1], span[1])
-                continue
-        merged.append(span)
-    out = [("... " if s else "") + text[s:e].strip() + (" ..." if e < len(text) else "") for s, e in merged]
-    return out[:limit] if limit is not None else out
-
-
-def windows_column(text: Column, phrase: Column, buffer: int = BUFFER, limit: int | None = None) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(t: pd.Series, p: pd.Series) -> pd.Series:
-        return pd.Series([context_windows(a, b, buffer, limit=limit) for a, b in zip(t, p)], dtype=object)
-
-    return run(text, phrase)
+    size = F.char_length(text)
+
+    def grown(p: Column) -> Column:
+        start, end = F.greatest(p["start"] - buffer, F.lit(0)), F.least(p["end"] + buffer, size)
+        return F.struct(_back(text, start).alias("start"), F.when(end < size, _forth(text, end, size)).otherwise(size).alias("end"))
+
+    spans = F.transform(places(text, phrase_pattern(phrase)), grown)
+
+    def cut(all_: Column) -> Column:
+        n = F.size(all_)
+        order = F.sequence(F.lit(1), n)
+
+        def apart(i: Column) -> Column:
+            return F.element_at(all_, i + 1)["start"] - F.element_at(all_, i)["end"] > max(0, separation)
+
+        first = F.filter(order, lambda i: F.when(i == 1, True).otherwise(apart(i - 1)))
+        last = F.filter(order, lambda i: F.when(i == n, True).otherwise(apart(i)))
+
+        def snippet(i: Column, j: Column) -> Column:
+            start, end = F.element_at(all_, i)["start"], F.element_at(all_, j)["end"]
+            inner = F.regexp_replace(F.substring(text, start + 1, end - start), r"(?U)^\s+|\s+$", "")
+            return F.concat(F.when(start > 0, "... ").otherwise(""), inner, F.when(end < size, " ...").otherwise(""))
+
+        return F.when(n > 0, F.zip_with(first, last, snippet))
+
+    # a one-element list binds the spans, so that they are computed once
+    found = F.transform(F.array(spans), cut)[0]
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def merge_intervals(spans: DataFrame, key: str, separation: int = SEPARATION) -> DataFrame:

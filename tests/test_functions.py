@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldlark.functions import text as T
 from fieldlark.functions import urls
 from fieldlark.functions.replies import UNREADABLE, first_object, repair
-from fieldlark.functions.windows import context_windows
+from fieldlark.functions.windows import windows_column
 from fieldlark.operators.traits import expand_templates, get_or_create, new_contents, parse_expanded, snippet, upsert_links
 from fieldlark.plans import raster
 from fieldlark.providers import PagedSearch, search_links, with_retries
@@ -56,16 +58,47 @@ def test_snippet(spark):
     assert one(spark, snippet(F.col("t"), F.col("n")), t=text, n="zzz") == "a" * 80
 
 
-def test_context_windows():
+def test_context_windows(spark):
+    def windows(text, phrase, buffer=1500, separation=100, limit=None):
+        df = spark.createDataFrame([(text, phrase)], "t string, p string")
+        return df.select(windows_column(F.col("t"), F.col("p"), buffer, separation, limit)).first()[0]
+
     text = "x " * 100 + "can fly" + " y" * 100
-    assert context_windows(text, "") == [] and context_windows(None, "a") == [] and context_windows("abc", "zzz") == []
-    assert context_windows("can fly", "can fly") == ["can fly"]
-    got = context_windows(text, "CAN  fly", 20)
+    assert windows(text, "") == [] and windows(None, "a") == [] and windows("abc", "zzz") == [] and windows("abc", None) == [] and windows("", "a") == []
+    assert windows("can fly", "can fly") == ["can fly"] and windows("cannot", "can") == [] and windows("ñcan", "can") == []
+    got = windows(text, " CAN  fly", 20)
     assert len(got) == 1 and got[0].startswith("... ") and got[0].endswith(" ...") and "can fly" in got[0]
     two = "fly" + " z" * 300 + " fly"
-    assert len(context_windows(two, "fly", 20)) == 2 and len(context_windows(two, "fly", 20, limit=1)) == 1
-    assert len(context_windows(two, "fly", 300)) == 1
-    assert context_windows("can\n fly é", "can fly") == ["can\n fly é"]
+    assert len(windows(two, "fly", 20)) == 2 and len(windows(two, "fly", 20, limit=1)) == 1
+    assert len(windows(two, "fly", 300)) == 1 and len(windows(two, "fly", 20, separation=600)) == 1
+    assert windows("can\n fly é", "can fly") == ["can\n fly é"] and windows("a (b) c", "(b)") == []
+    long = "q" * 300 + " fly " + "r" * 300  # words longer than the near part of the search
+    assert windows(long, "fly", 20) == [long] and windows("a " + long + " b", "fly", 20) == ["... " + long + " ..."]
+
+
+def brute_windows(text, phrase, buffer, separation):
+    """Cuts found with the positions of all white space instead."""
+    blanks, size = [i for i, c in enumerate(text) if c.isspace()], len(text)
+    out = []
+    for m in re.finditer(r"(?i)\b" + r"\s+".join(map(re.escape, phrase.split())) + r"\b", text):
+        s, e = max(0, m.start() - buffer), min(size, m.end() + buffer)
+        s = max((i for i in blanks if i <= s), default=0)
+        e = min((i + 1 for i in blanks if i >= e - 1), default=size) if e < size else size
+        if out and s - out[-1][1] <= separation:
+            out[-1][1] = max(e, out[-1][1])
+        else:
+            out.append([s, e])
+    return [("... " if s else "") + text[s:e].strip() + (" ..." if e < size else "") for s, e in out]
+
+
+def test_context_windows_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = ["fly", "Fly", "can", "é", "x" * 70, "y", "z-z", "fly,"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for buffer, separation in ((0, 0), (10, 5), (40, 100)):
+        got = {r.i: r.w for r in df.select("i", windows_column(F.col("t"), F.lit("can  FLY"), buffer, separation).alias("w")).collect()}
+        assert all(got[i] == brute_windows(t, "can FLY", buffer, separation) for i, t in enumerate(texts))
 
 
 @pytest.mark.parametrize("text,want", [('{"a": 1}', {"a": 1}), ('```json\n{"a": 1}\n```', {"a": 1}), ("{“a”: “b”}", {"a": "b"}), ('{"a": "\\q"}', {"a": "\\q"}), ('{"a": "x\ny"}', {"a": "x y"}), ("hopeless", None)])
