@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, blob_ledger, decontamination, packing, pii, quality, revisits, simhash, token_counts, url_filter
-from .common import new_folder, read
+from .common import cut, new_folder, read
 
 #: Texts with more tokens than this are over the limit.
 TOKEN_LIMIT = 2048
@@ -23,7 +23,8 @@ def op1_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.rule_table(spark), url_filter.recrawled(pages), ["page_id"])
+    listed = cut(url_filter.recrawled(pages))  # small beside the pages, and read several times
+    return url_filter.judge(pages, url_filter.rule_table(spark), listed, ["page_id"])
 
 
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +112,8 @@ FROM hp LEFT JOIN fit ON fit.page_id = hp.page_id AND k = 1 LEFT JOIN many ON ma
 
 _OP3_SQL = f"""
 WITH {_PARTS},
-c AS (SELECT page_id, md5(url) AS mark, CAST(page_id // 500 AS VARCHAR) AS epoch, html,
-      CASE WHEN host <> '' THEN regexp_replace(host, '^www\\.', '') || regexp_extract(path, '^(/[^/]*)', 1) END AS target FROM hp),
+c AS (SELECT page_id, md5(concat_ws(' ', url, CAST(page_id AS VARCHAR))) AS mark, CAST(page_id // 5000 AS VARCHAR) AS epoch, html,
+      nullif(regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/$', ''), '') AS target FROM hp),
 r AS (SELECT page_id, target, epoch, mark, html, substr(mark, 1, 1) IN ('0','1','2','3') AS full_, CASE WHEN substr(mark, 2, 1) NOT IN ('0','1','2') THEN '"' || substr(md5(target || ':' || epoch), 1, 12) || '"' END AS etag FROM c),
 s AS (SELECT a.*, b.page_id AS bid, b.etag AS betag, b.epoch AS bepoch, b.html AS bhtml,
       CASE WHEN a.full_ THEN 'response' WHEN b.page_id IS NULL THEN 'orphan'

@@ -2,7 +2,9 @@
 
 The list holds keys (host, path prefix) with a verdict.  A URL's candidate keys are
 the suffixes of its host with prefixes of its path, of those sizes only that occur in
-the list, and its own canonical form.  A key's hash picks a block of four
+the list, and its own canonical form.  A list with more than ``SIZES`` pairs of sizes makes candidates
+for each suffix of a host and each length that a prefix has with as many labels, by a join with the
+table of sizes instead of an expression for each.  A key's hash picks a block of four
 words and eight bits in it; candidates whose bits are all set pass to the exact
 hash join with the list, which removes false positives.  The longest key wins.
 
@@ -12,7 +14,8 @@ Candidates are narrow and leave the map side only when the filter passes them.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path; it
 fits no key and gets the default verdict; rows that repeat are kept; an empty list
-gives every URL the default.
+gives every URL the default; an empty table gives no rows; very long URLs are matched whole; columns of
+the pages that are named like those of the result (host, path, rule, verdict) are replaced by them.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .common import small_or_not
 #: Rules of the query, as verdict, host and path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 BITS_PER_KEY = 16
+#: Distinct sizes of rules that become expressions.
+SIZES = 64
 WORDS = 4
 _SEP = "\x01"
 
@@ -72,9 +77,8 @@ def listed_matches(urls: DataFrame, rules: DataFrame, listed: DataFrame | None)
     ``rules``: host, path, rule, verdict (prefixes); ``listed``: host, path (exact, blocked, rule null).
     """
     prefixes = rules.select(_key(F.col("host"), F.col("path")).alias("key"), "rule", "verdict")
-    sizes = rules.select(F.size(F.split("host", r"\.")).alias("c"), F.length("path").alias("l")).distinct().limit(4097).collect()
-    if len(sizes) > 4096:
-        raise ValueError("the rules have more than 4096 distinct sizes of host and path")
+    sizes = rules.select(F.size(F.split("host", r"\.")).alias("c"), F.length("path").alias("l")).distinct()
+    few = sizes.limit(SIZES + 1).collect()
     entries = prefixes
     if listed is not None:
         exact = listed.select(F.concat(F.lit("="), _key(F.col("host"), F.col("path"))).alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
@@ -83,12 +87,21 @@ def listed_matches(urls: DataFrame, rules: DataFrame, listed: DataFrame | None)
     count, size = entries.agg(F.count("*"), F.coalesce(F.sum(bytes_of), F.lit(0))).first()
     blocks = max(1, count * BITS_PER_KEY // (64 * WORDS) + 1)
     labels = F.split("host", r"\.")
-    cands = [F.concat(F.lit("="), _key(F.col("host"), F.col("path")))] if listed is not None else []
-    for c, n in sorted((r["c"], r["l"]) for r in sizes):
+    own = [F.concat(F.lit("="), _key(F.col("host"), F.col("path")))] if listed is not None else []
+
+    def cand(c: Column, n: Column) -> Column:
         fits = (F.size(labels) >= c) & (F.length("path") >= n) & (F.col("host") != "")
-        suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - c + 1, F.lit(1)), F.lit(c)), ".")
-        cands.append(F.when(fits, _key(suffix, F.substring(F.col("path"), 1, n))))
-    some = urls.select("host", "path", F.explode(F.array_compact(F.array(*cands))).alias("key"))
+        suffix = F.array_join(F.slice(labels, F.greatest(F.size(labels) - c + 1, F.lit(1)), c), ".")
+        return F.when(fits, _key(suffix, F.substring(F.col("path"), F.lit(1), n)))
+
+    if len(few) <= SIZES:
+        some = urls.select("host", "path", F.explode(F.array_compact(F.array(*own, *(cand(F.lit(r["c"]), F.lit(r["l"])) for r in few)))).alias("key"))
+    else:
+        lengths = sizes.groupBy("c").agg(F.collect_set("l").alias("ls"))  # a row for each number of labels
+        each = urls.select("host", "path", F.explode(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1)))).alias("c")).join(lengths, "c")
+        some = each.select("host", "path", F.explode("ls").alias("l"), "c").select("host", "path", cand(F.col("c"), F.col("l")).alias("key")).where("key is not null")
+        if own:
+            some = some.union(urls.select("host", "path", own[0]))
     probe = some.withColumn("block", _block(F.col("key"), blocks))
     hit = F.lit(True)
     for i, m in enumerate(_masks(F.col("key"))):
@@ -102,9 +115,11 @@ def listed_matches(urls: DataFrame, rules: DataFrame, listed: DataFrame | None)
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, keys: list[str] | None = None, url: str = "url", default: str = "allow") -> DataFrame:
     """keys, host, path, rule and verdict, a row for each row of ``pages``."""
     host, path = host_and_path(url)
-    parts = pages.select(*(keys or pages.columns), host.alias("host"), path.alias("path"))
-    matches = listed_matches(parts.select("host", "path"), rules, listed)
-    return parts.join(matches, ["host", "path"], "left").select(*(keys or pages.columns), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    kept = [c for c in (keys or pages.columns) if c not in ("host", "path", "rule", "verdict")]
+    parts = pages.select(*kept, host.alias("host"), path.alias("path"))
+    matches = listed_matches(parts.select("host", "path"), rules, listed).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "rule", "verdict")
+    joined = parts.join(matches, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    return joined.select(*kept, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def recrawled(pages: DataFrame, url: str = "url") -> DataFrame:

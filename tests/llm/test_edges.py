@@ -123,6 +123,28 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark), None, ["page_id"]).count() == 0
 
 
+def test_urls_keep_clashing_columns_apart(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "mine", "r", "v"), (1, "http://a.com/x", "mine", "r", "v"), (None, None, None, None, None)], "page_id long, url string, host string, rule string, verdict string")
+    got = url_filter.judge(pages, url_filter.rule_table(spark))
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and sorted((str(r.page_id), r.host, r.rule) for r in got.collect()) == [("1", "a.com", "com/")] * 2 + [("None", "", None)]
+
+
+@pytest.mark.parametrize("sizes", [0, 64])
+def test_rules_of_many_sizes_equal_brute_force(spark, sizes, monkeypatch):
+    monkeypatch.setattr(url_filter, "SIZES", sizes)
+    rng = random.Random(4)
+    rules = list({(rng.choice(["com", "a.com", "b.a.com", "net"]), "/" + "x" * rng.randrange(9)): None for _ in range(40)})
+    table = spark.createDataFrame([(h, p, h + p, rng.choice(["allow", "block"])) for h, p in rules], "host string, path string, rule string, verdict string")
+    of = {r.rule: r.verdict for r in table.collect()}
+    urls = [f"http://{rng.choice(['', 'b.', 'c.b.'])}{rng.choice(['a.com', 'net', 'org', 'xnet'])}/{'x' * rng.randrange(12)}" for _ in range(200)] + ["http://a.com/" + "x" * 100_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([("org", "/x")], "host string, path string")
+    for r in url_filter.judge(pages, table, listed).collect():
+        fits = [h + p for h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        best = max(fits, key=len, default=None)
+        assert r.rule == best and r.verdict == (of[best] if best else "block" if (r.host, r.path) == ("org", "/x") else "allow")
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     blocks = 150
@@ -146,7 +168,7 @@ def test_revisits(spark):
         (4, "a", 900, False, "e2", "m1", [], None, None, "s"), (5, "a", 950, False, None, "m1", [], None, None, "s"), (6, "b", 5, False, None, None, [], None, None, "s"),
         (7, None, 5, True, None, None, [], "d7", 1, "s"), (8, None, 6, False, None, None, [], None, None, "s"), (9, "a", None, False, "e1", None, [], None, None, "s"), (10, "a", 951, False, None, None, [], None, None, "s"),
     ]
-    log = spark.createDataFrame(rows, schema).drop("stored")
+    log = spark.createDataFrame(rows, schema)
     got = {r.id: r for r in revisits.resolve(log, chunks=7).collect()}
     assert [got[i].status for i in range(1, 11)] == ["response", "orphan", "resolved", "mismatch", "resolved", "orphan", "response", "orphan", "orphan", "mismatch"]
     assert got[3].payload_digest == "d1" and [tuple(x) for x in got[3].headers] == [("date", "z"), ("etag", "1"), ("x", "y")] and got[4].payload_digest is None
@@ -169,6 +191,17 @@ def test_as_of_equals_brute_force(spark, chunks):
         assert (r.stored and (r.stored.ts, r.stored.id)) == best
 
 
+def test_as_of_with_one_odd_time_and_one_hot_time(spark):
+    rows = [(i, "a", i, i % 7 == 0) for i in range(500)] + [(1000 + i, "a", 250, i == 5) for i in range(500)] + [(5000, "a", 10**15, False), (5001, "a", None, True), (5002, None, 7, True)]
+    records = spark.createDataFrame(rows, "id long, target string, ts long, full boolean")
+    got = {r.id: r.stored for r in revisits.latest_earlier(records, 16).collect()}
+    assert len(got) == len(rows) and got[5001] is None and got[5002] is None and got[5000].id == 497 and got[251].id == 1005 and got[1001].id == 245
+    times = [r[1] for r in rows if r[1] == "a" and r[2] is not None]
+    points = [int(x) for x in np.quantile([r[2] for r in rows if r[1] == "a" and r[2] is not None], [i / 16 for i in range(1, 16)])]
+    each = records.where("target = 'a' and ts is not null").select("ts", revisits._chunk(F.col("ts"), sorted(set(points))).alias("c")).collect()
+    assert all(r.c == sum(p < r.ts for p in set(points)) for r in each) and len(times) == len(each)
+
+
 # 4 ---------------------------------------------------------------------------------------
 
 
