@@ -1,6 +1,6 @@
 """Command line: ``python -m fieldlark.cli <command>`` over a directory of raw tables.
 
-expand, spell, dry-run, report, missing-answers, missing-links, purge, rank and eo.
+expand, spell, dry-run, report, missing-answers, missing-links, purge, ask and eo.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .operators import mutate, traits
 from .plans.extract import Extraction, extract
+from .providers import AnswerProvider, keyword_answer
 from .sources import files
 from .sources.tables import Store
 
@@ -43,11 +44,15 @@ def parser() -> argparse.ArgumentParser:
     eo = command("eo", "points", "datasets", "out")
     eo.add_argument("--n_point_table_rows", type=int)
     eo.add_argument("--n_dataset_rows", type=int)
+    eo.add_argument("--form", action="store_true", help="refuse what the extraction form refuses")
+    ask = command("ask", store=False)
+    ask.add_argument("--context", required=True)
+    ask.add_argument("--query", required=True)
     return p
 
 
-def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
-    """Runs a command; gives what it would print."""
+def run(spark: SparkSession, argv: Sequence[str], answer: AnswerProvider | None = None) -> DataFrame | None:
+    """Runs a command; gives what it would print.  ``answer`` replaces the offline provider."""
     a = parser().parse_args(argv)
     store = Store(spark, a.tables) if "tables" in a else None
     if a.command == "expand":
@@ -69,13 +74,16 @@ def run(spark: SparkSession, argv: Sequence[str]) -> DataFrame | None:
         for table, df in left.items() if a.out else ():
             df.write.mode("overwrite").parquet(f"{a.out}/{table}.parquet")
         return counts
+    elif a.command == "ask":
+        one = spark.range(1).select(F.lit(a.context).alias("context"), F.lit(a.query).alias("question"))
+        return one.select("question", traits.one_question(F.col("context"), F.col("question"), answer or keyword_answer).alias("answer"))
     elif a.command == "eo":
         points = files.read_points(spark, a.points, a.n_point_table_rows)
         table = files.read_dataset_table(spark, a.datasets, a.n_dataset_rows)
         wanted = [Extraction(r[0], r[1], r[2], r[3]) for r in table.collect()]  # a hand-written table
         named = points.withColumnsRenamed({"Latitude": "latitude", "Longitude": "longitude", "Year": "year"})
         locations = store.point.select(F.col("id_key").alias("pixel_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))
-        files.write_csv(extract(named, store.raster, locations, wanted, cli=True), a.out)
+        files.write_csv(extract(named, store.raster, locations, wanted, cli=True, form=a.form), a.out)
     return None
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 ERROR_PATTERNS = (
     "you need to enable javascript", "please enable javascript", "403 forbidden", "401 unauthorized", "404 not found", "too many requests", "service unavailable",
     "bad gateway", "gateway timeout", "captcha", "are you a robot", "bot detection", "bot detected", "cloudflare", "akamai", "imperva",
-    "click here if you are not redirected", "internal server error", "we've detected unusual activity from your network",
+    "click here if you are not redirected", "internal server error", "we've detected unusual activity from your network.",
 )
 #: Phrases of a soft block (fixed values).
 SOFT_BLOCKS = ("temporarily unavailable", "just a moment", "verify you are a human", "are you a human", "access denied", "rate limit", "unusual traffic")
@@ -92,6 +92,38 @@ def html_to_text(page: Column, entities: bool = True) -> Column:
     return tidy_space(unescape_entities(t) if entities else t)
 
 
+#: A paragraph is content when it has so many characters, under half of them in links.
+PARAGRAPH = 40
+
+
+def article_markup(page: Column) -> Column:
+    """The inside of a page's first ``article`` element, or else of its first ``main``; empty without one."""
+    inside = [F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1), F.lit("")) for tag in ("article", "main")]
+    return F.coalesce(*inside, F.lit(""))
+
+
+def paragraph_markup(page: Column) -> Column:
+    """The page's paragraphs that are long enough and no lists of links, each a block; empty without one."""
+    bare = page
+    for tag in ("script", "style", "noscript"):
+        bare = F.regexp_replace(bare, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
+    parts = F.regexp_extract_all(bare, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
+
+    def dense(p: Column) -> Column:
+        every = F.length(F.regexp_replace(p, ANY_TAG, ""))
+        loose = F.length(F.regexp_replace(F.regexp_replace(p, r"(?is)<a\b[^>]*>.*?</a>", ""), ANY_TAG, ""))
+        return (every >= PARAGRAPH) & (loose * 2 > every)
+
+    return F.coalesce(F.array_join(F.transform(F.filter(parts, dense), lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "\n"), F.lit(""))
+
+
+def extract_text(page: Column, entities: bool = True) -> Column:
+    """A page's main text, the first of three that isn't empty: its article, its dense paragraphs, all of it."""
+    stages = [F.nullif(tidy_space(strip_markup(m)), F.lit("")) for m in (article_markup(page), paragraph_markup(page))]
+    found = F.coalesce(*stages, tidy_space(strip_markup(page)))
+    return tidy_space(unescape_entities(found)) if entities else found
+
+
 def html_text_simple(page: Column) -> Column:
     """Scripts and styles dropped, tags a space, white space collapsed."""
     t = page
@@ -159,10 +191,19 @@ def template_of(question: Column, species: Column) -> Column:
     return F.replace(question, species, F.lit("[species]"))
 
 
+def words_with_space(text: Column) -> Column:
+    """The text's words, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(r"\s*+\S++"), F.lit(0))
+
+
 def first_tokens(text: Column, limit: int, tokenizer: Callable[[str], list[str]] | None = None) -> Column:
-    """The first ``limit`` tokens: words by default, or those of a tokenizer given."""
+    """The first ``limit`` tokens: words with the white space before them by default, or those of a tokenizer given.
+
+    A text with no more tokens than that stays as it is.
+    """
     if tokenizer is None:
-        return F.regexp_extract(text, rf"^(\s*(?:\S+\s*){{0,{limit}}})", 1) if limit < 200 else F.array_join(F.slice(F.split(text, " "), 1, limit), " ")
+        words = words_with_space(text)
+        return F.when(F.size(words) > limit, F.array_join(F.slice(words, 1, limit), "")).otherwise(text)
 
     @F.pandas_udf(StringType())
     def head(s: pd.Series) -> pd.Series:
@@ -171,6 +212,30 @@ def first_tokens(text: Column, limit: int, tokenizer: Callable[[str], list[str]]
     return head(text)
 
 
+def count_tokens(text: Column, tokenizer: Callable[[str], list[str]] | None = None) -> Column:
+    """Number of tokens: words by default, or those of a tokenizer given; null for a null text."""
+    if tokenizer is None:
+        return F.when(text.isNotNull(), F.size(words_with_space(text)).cast("long"))
+
+    @F.pandas_udf("long")
+    def count(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: len(tokenizer(t)), na_action="ignore").astype("Int64")
+
+    return count(text)
+
+
+def count_message_tokens(messages: Column) -> Column:
+    """Tokens of all contents of an array of (role, content)."""
+    return F.aggregate(messages, F.lit(0).cast("long"), lambda n, m: n + F.coalesce(count_tokens(m["content"]), F.lit(0)))
+
+
+def is_error_like(text: Column) -> Column:
+    """True for no text, a blank one and texts of failures: ``Error:`` in front, a traceback or a HTTP status of 4xx or 5xx within."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    failed = t.startswith("Error:") | F.contains(t, F.lit("Traceback")) | F.contains(t, F.lit("HTTP 4")) | F.contains(t, F.lit("HTTP 5"))
+    return F.coalesce((t == "") | failed, F.lit(True))
+
+
 def chunks(text: Column, size: int) -> Column:
     """Array of the text's parts of ``size`` characters; empty for an empty text."""
     n = F.ceil(F.length(text) / F.lit(size)).cast("int")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import COVARIATE_TYPES, SAMPLE_LEVEL
 from ..sources.tables import Store
+from .joins import bounded
 
 
 def type_name(code: Column) -> Column:
@@ -16,14 +17,17 @@ def type_name(code: Column) -> Column:
     return out
 
 
-def searchable_values(store: Store) -> DataFrame:
-    """name and the sorted distinct values of each covariate that is searched by value.
+def searchable_values(store: Store, limit: int | None = None) -> DataFrame:
+    """name and the sorted distinct values of each covariate that is searched by value, the first ``limit`` if it is given.
 
     Pairs are made distinct with partial aggregation first, so an array grows with a
-    covariate's distinct values and not with its rows.
+    covariate's distinct values and not with its rows, and with ``limit`` is bounded.
     """
     defn = store.covariate_defn.where("queryable and search_by_unique").select(F.col("id_key").alias("covariate_defn_id"), "name")
     pairs = store.covariate_value.join(defn, "covariate_defn_id").select("name", "value").distinct()
+    if limit is not None:
+        order = Window.partitionBy("name").orderBy("value")
+        pairs = pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit)
     return pairs.groupBy("name").agg(F.array_sort(F.collect_list("value")).alias("values"))
 
 
@@ -33,8 +37,6 @@ def continuous_covariates(store: Store) -> DataFrame:
 
 def covariate_listing(store: Store) -> DataFrame:
     """All definitions by association, display order and name; ``position`` gives the order."""
-    from pyspark.sql import Window
-
     order = Window.orderBy("covariate_association", "display_order", F.lower("name"))
     return store.covariate_defn.withColumn("position", F.row_number().over(order).cast("long"))
 
@@ -57,10 +59,13 @@ def usable(value: Column) -> Column:
     return value.isNotNull() & (F.lower(value) != "null")
 
 
-def unique_value_summary(store: Store) -> DataFrame:
-    """name and value: numbers count as ``true``, texts in lower case; distinct."""
+def unique_value_summary(store: Store, samples: int | None = None) -> DataFrame:
+    """name and value: numbers count as ``true``, texts in lower case; distinct.  With ``samples``, those of the first so many samples by id."""
     defn = store.covariate_defn.select(F.col("id_key").alias("covariate_defn_id"), "name")
     rows = store.covariate_value.where(usable(F.col("value"))).join(defn, "covariate_defn_id")
+    if samples is not None:
+        first = store.sample.select(F.col("id_key").alias("sample_id")).orderBy("sample_id").limit(samples)
+        rows = rows.join(bounded(first, samples), "sample_id", "left_semi")
     value = F.when(F.col("value").try_cast("double").isNotNull(), "true").otherwise(F.lower("value"))
     return rows.select("name", value.alias("value")).distinct()
 

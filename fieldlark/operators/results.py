@@ -9,19 +9,23 @@ from pyspark.sql import functions as F
 
 from ..schemas import SAMPLE_LEVEL, STUDY_LEVEL
 from ..sources.tables import Store
+from .joins import bounded
 
 #: Fixed columns of a page with their display order (fixed values).
 SAMPLE_COLUMNS = (("row_number", -4.0), ("study_id", -3.0), ("observation", -2.0), ("latitude", -1.0), ("longitude", 0.0))
 STUDY_COLUMNS = (("row_number", -1.0), ("study_id", 1.0))
 
 
-def pivot_covariates(store: Store, owner: str, names: Sequence[str]) -> DataFrame:
+def pivot_covariates(store: Store, owner: str, names: Sequence[str], keys: DataFrame | None = None) -> DataFrame:
     """A row for each ``owner`` (study_id or sample_id) with a column for each name; of duplicates the last by id wins.
 
-    One aggregation over all names: no job is needed to find the columns.
+    One aggregation over all names: no job is needed to find the columns.  Only the values of ``keys`` (a
+    column named like the owner) are aggregated, if it is given.
     """
     defn = store.covariate_defn.where(F.col("name").isin(list(names))).select(F.col("id_key").alias("covariate_defn_id"), "name")
     rows = store.covariate_value.where(F.col(owner).isNotNull()).join(defn, "covariate_defn_id")
+    if keys is not None:
+        rows = rows.join(keys, owner, "left_semi")
     last = [F.max_by(F.when(F.col("name") == n, F.col("value")), F.when(F.col("name") == n, F.col("id_key"))).alias(n) for n in names]
     return rows.groupBy(owner).agg(*last) if last else rows.select(owner).distinct()
 
@@ -34,7 +38,7 @@ def page_of(fact: DataFrame, offset: int, limit: int) -> DataFrame:
 
 def page_samples(store: Store, fact: DataFrame, offset: int, limit: int, names: Sequence[str]) -> DataFrame:
     page = page_of(fact, offset, limit).select("row_number", "id_key", F.col("study_name").alias("study"), "observation", "latitude", "longitude", "year")
-    wide = pivot_covariates(store, "sample_id", names)
+    wide = pivot_covariates(store, "sample_id", names, bounded(page.select(F.col("id_key").alias("sample_id")), limit))
     return page.join(wide, page["id_key"] == wide["sample_id"], "left").drop("sample_id")
 
 
@@ -57,7 +61,7 @@ def column_order(names: Sequence[str], orders: dict[str, float], fixed: Sequence
 def export_samples(store: Store, fact: DataFrame, names: Sequence[str]) -> DataFrame:
     """All selected samples, wide; a missing value is the text ``None``."""
     base = fact.select("id_key", F.col("study_name").alias("study"), "observation", "latitude", "longitude", "year")
-    wide = pivot_covariates(store, "sample_id", names)
+    wide = pivot_covariates(store, "sample_id", names, fact.select(F.col("id_key").alias("sample_id")))
     joined = base.join(wide, base["id_key"] == wide["sample_id"], "left").drop("sample_id")
     return joined.fillna("None", subset=list(names)) if names else joined
 
@@ -65,7 +69,7 @@ def export_samples(store: Store, fact: DataFrame, names: Sequence[str]) -> DataF
 def export_studies(store: Store, fact: DataFrame, names: Sequence[str]) -> DataFrame:
     """The studies of the selected samples, wide; a missing value is the empty text."""
     base = fact.select("study_id", F.col("study_name").alias("study")).distinct()
-    wide = pivot_covariates(store, "study_id", names)
+    wide = pivot_covariates(store, "study_id", names, fact.select("study_id"))
     joined = base.join(wide, "study_id", "left")
     return joined.fillna("", subset=list(names)) if names else joined
 

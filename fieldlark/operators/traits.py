@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..functions import urls
 from ..functions.windows import windows_column
 from ..sources.tables import Store
+from .joins import bounded
 
 #: Placeholders of question templates (fixed values).
 PLACEHOLDERS = ("predator_list", "pest_list", "full_species_list")
@@ -65,9 +66,8 @@ def parse_expanded(lines: DataFrame) -> DataFrame:
 
 
 def species_questions(species: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Every species with every scoped question; ``scopes`` is the short list that is broadcast."""
-    # a hand-written list; each row meets each by definition
-    return species.crossJoin(F.broadcast(scopes)).withColumn("question_formatted", F.replace("question_body", F.lit("[species]"), F.col("species")))
+    """Every species with every scoped question; each row meets each by definition, and the scopes are a hand-written list."""
+    return species.crossJoin(bounded(scopes, scopes.count(), 1000)).withColumn("question_formatted", F.replace("question_body", F.lit("[species]"), F.col("species")))
 
 
 def fix_lines(lines: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -186,15 +186,19 @@ def dry_run(expanded: DataFrame, species: DataFrame, questions: DataFrame, mappi
 
 
 def get_or_create(have: DataFrame, wanted: DataFrame, key: str, update: str | None = None) -> DataFrame:
-    """``have`` with new keys appended (ids count on from the largest) and ``update`` replaced where it is given.
+    """``have`` with new keys appended (ids count on from the largest, in the order of the keys) and ``update`` replaced where it is given.
 
-    The new keys of one insert are numbered in one task: they are a hand-written list.
+    New keys are numbered by their first two characters apart, and these few groups by how many keys come before.
     """
     columns = have.columns
     wanted = wanted.dropDuplicates([key])
     top = have.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = wanted.join(have.select(key), key, "left_anti").crossJoin(F.broadcast(top))
-    fresh = fresh.withColumn("id", F.row_number().over(Window.orderBy(key)) + F.col("top")).drop("top")
+    fresh = wanted.join(have.select(key), key, "left_anti").crossJoin(F.broadcast(top)).withColumn("__head", F.substring(F.col(key).cast("string"), 1, 2))
+    heads = fresh.groupBy("__head").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("__head", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__head").orderBy(key))
+    fresh = fresh.withColumn("__own", own).join(heads, "__head").withColumn("id", F.col("__own") + F.col("__before") + F.col("top"))
     if update:
         changed = wanted.select(key, F.col(update).alias("__new"))
         have = have.join(changed, key, "left").withColumn(update, F.coalesce("__new", update)).drop("__new")
@@ -244,6 +248,27 @@ def paired(df: DataFrame, keys: list[str], answers: str, results: str) -> DataFr
     return df.select(*keys, F.inline(zipped).alias("answer", "result"))
 
 
+def first_seen(lines: DataFrame, place: str, value: str) -> DataFrame:
+    """``lines`` without repeats: of equal values the row with the least place stays.  Order by ``place`` to read them."""
+    first = lines.groupBy(value).agg(F.min(place).alias(place))
+    return lines.join(first, [value, place], "left_semi").dropDuplicates([value])
+
+
+def pending_classification(store: Store) -> DataFrame:
+    """Contents whose validity isn't known: id and text."""
+    return store.content.where("is_valid is null").select("id", "text")
+
+
+def in_random_order(df: DataFrame, seed: int | None = None) -> DataFrame:
+    """Rows in a random order, for a look at the data."""
+    return df.orderBy(F.rand(seed))
+
+
+def one_question(context: Column, question: Column, answer: Callable[[Column, Column], Column], buffer: int = 1500) -> Column:
+    """The provider's answer to one question about one context."""
+    return answer(question, F.substring(T.one_line(context), 1, 2 * buffer))
+
+
 def ingest_metrics(pages: DataFrame, text: str = "text") -> DataFrame:
     """Numbers of pages with content and without: blank ones and those that begin with ``Error:`` are not ok."""
     bad = F.col(text).isNull() | (F.trim(text) == "") | F.col(text).startswith("Error:")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import raster
@@ -49,6 +49,27 @@ class Extraction:
     years: tuple[int, int] | None = None
 
 
+def check_form(points: DataFrame, wanted: Sequence[Extraction]) -> None:
+    """What the form refuses: unknown sources and masks, statistics that a source does not offer, and too many points."""
+    for x in wanted:
+        source = x.dataset if x.dataset in TABLES else f"{x.dataset}:{x.band}"
+        if source not in SOURCES:
+            raise ExprError(f"unknown source {source}")
+        for step in parse(x.expression):
+            if step.kind == "spatial":
+                check_stat(source, step.stat)
+        if x.mask and f"{x.mask[0]}:{x.mask[1]}" not in MASK_SOURCES:
+            raise ExprError(f"unknown mask {x.mask[0]}:{x.mask[1]}")
+    if points.limit(MAX_POINTS + 1).count() > MAX_POINTS:
+        raise ExprError(f"more than {MAX_POINTS} points")
+
+
+def years_of(source: str) -> tuple[int, int]:
+    """First and last year of a source of the form."""
+    first, last = (SOURCES[source] if source in SOURCES else MASK_SOURCES[source])[:2]
+    return int(first[:4]), int(last[:4])
+
+
 def check_stat(source: str, stat: str) -> None:
     """A source of the form only takes its own statistics; other sources take all."""
     allowed = SOURCES[source][2] if source in SOURCES else FULL_STATS
@@ -66,30 +87,58 @@ def located(points: DataFrame, locations: DataFrame) -> DataFrame:
     return points.join(at, ["latitude", "longitude"], "left")
 
 
-def extract(points: DataFrame, pixels: DataFrame, locations: DataFrame, wanted: Sequence[Extraction], cli: bool = False) -> DataFrame:
+def _jobs(x: Extraction, cli: bool) -> tuple[str, str, list[tuple[str, str | None]]]:
+    """Dataset, band, and the columns of one extraction as (name, transform)."""
+    if x.dataset in TABLES:
+        dataset, band, classes = TABLES[x.dataset]
+        return dataset, band, [(f"{dataset}_lulc_prop_area_{k}_{x.expression}", f"mask[{k}]") for k in range(classes)]
+    return x.dataset, x.band, [(raster.column_name(x.dataset, x.band, x.expression, x.transform, cli), x.transform)]
+
+
+def extract(points: DataFrame, pixels: DataFrame, locations: DataFrame, wanted: Sequence[Extraction], cli: bool = False, form: bool = False) -> DataFrame:
     """``points`` with a column for each extraction, or for each class of a land-cover table.
 
     ``pixels``: dataset_id, band, ts, pixel_id, value; ``locations``: pixel_id, lat, lon.
-    Requests of years that a dataset lacks get the text ``Outside …``.
+    Requests of years that a dataset lacks get the text ``Outside …``.  With ``form`` what the
+    form refuses is refused here too.
+
+    Extractions of one dataset, band, expression, mask and years share one pass over its pixels, whatever their
+    transforms; a land-cover table is one pass.  All columns meet the points in one join.
     """
+    if form:
+        check_form(points, wanted)
     requests = located(points.select("row_id", "latitude", "longitude", "year"), locations)
-    out = points
+    names: list[str] = []
+    texts: set[int] = set()
+    passes: dict[tuple, list[tuple[int, str | None]]] = {}
     for x in wanted:
-        steps = with_default_space(parse(x.expression))
+        dataset, band, columns = _jobs(x, cli)
+        for name, transform in columns:
+            if x.years:
+                texts.add(len(names))
+            passes.setdefault((dataset, band, x.expression, x.mask, x.years), []).append((len(names), transform))
+            names.append(name)
+    rows = None
+    for (dataset, band, expression, masked, years), columns in passes.items():
+        steps = with_default_space(parse(expression))
         span, _ = raster.ranges(steps)
         mask = None
-        if x.mask:
-            codes = _band(pixels, x.mask[0], x.mask[1]).withColumn("label", F.col("value"))
-            mask = raster.mode_mask(codes, requests, span, x.mask[2])
-        if x.dataset in TABLES:
-            dataset, band, classes = TABLES[x.dataset]
-            jobs = [(f"{dataset}_lulc_prop_area_{k}_{x.expression}", dataset, band, f"mask[{k}]") for k in range(classes)]
-        else:
-            jobs = [(raster.column_name(x.dataset, x.band, x.expression, x.transform, cli), x.dataset, x.band, x.transform)]
-        for name, dataset, band, transform in jobs:
-            values = raster.evaluate(requests, _band(pixels, dataset, band), steps, parse_transform(transform), mask, locations)
-            if x.years:
-                guarded = requests.select("row_id", "year").join(values, "row_id")
-                values = guarded.select("row_id", raster.outside_guard(F.col("year"), F.col("value"), span, *x.years).alias("value"))
-            out = out.join(values.withColumnRenamed("value", name), "row_id", "left")
-    return out
+        if masked:
+            codes = _band(pixels, masked[0], masked[1]).withColumn("label", F.col("value"))
+            mask = raster.mode_mask(codes, requests, span, masked[2])
+        values = {f"__{i}": raster.transformed(F.col("value"), parse_transform(transform)) for i, transform in columns}
+        got = raster.evaluate_columns(requests, _band(pixels, dataset, band), steps, values, mask, locations)
+        got = got.join(requests.select("row_id", "year"), "row_id") if years else got.withColumn("year", F.lit(None).cast("int"))
+
+        def cell(i: int, years: tuple[int, int] | None = years, span: tuple[int, int] = span) -> Column:
+            number = F.col(f"__{i}").cast("double")
+            text = raster.outside_guard(F.col("year"), number, span, *years) if years else F.lit(None).cast("string")
+            return F.struct(F.lit(i).alias("slot"), number.alias("number"), text.alias("text"))
+
+        long = got.select("row_id", F.inline(F.array(*(cell(i) for i, _ in columns))))
+        rows = long if rows is None else rows.union(long)
+    if rows is None:
+        return points
+    wide = rows.groupBy("row_id").agg(*(F.max(F.when(F.col("slot") == i, F.col("text" if i in texts else "number"))).alias(f"__{i}") for i in range(len(names))))
+    joined = points.join(wide, "row_id", "left")
+    return joined.select(*points.columns, *(F.col(f"__{i}").alias(name) for i, name in enumerate(names)))

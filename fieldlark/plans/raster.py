@@ -4,7 +4,9 @@ Pixels are a long table (dataset_id, band, ts, pixel_id, value and others); requ
 are rows (row_id, latitude, longitude, year).  Only the distinct request years are
 expanded into windows, a small table that is broadcast; pixels meet it by an equi-join
 on the calendar year, with the exact bounds as a condition, and the outer bounds are
-pushed down to the scan.
+pushed down to the scan.  Before that only the pixels that a request can reach are kept: at its
+own place or within its circle, by bounds that the scan sees and a semi-join, and then only with the years
+asked of them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded
 from .expr import Step, Transform, with_default_space
 
 EARTH_M = 6371008.8
@@ -54,18 +57,21 @@ def in_windows(pixels: DataFrame, years: DataFrame, span: tuple[int, int], days:
         return pixels.limit(0).select("*", F.lit(0).alias("request_year"), F.lit(0).alias("year"))
     outer = window_table(years.sparkSession.createDataFrame([(int(low),), (int(high),)], "year int"), span, days).agg(F.min("start"), F.max("end")).first()
     near = pixels.where((F.col("ts") >= F.lit(outer[0])) & (F.col("ts") < F.lit(outer[1]))).withColumn("calendar", F.year("ts"))
-    table = F.broadcast(window_table(years, span, days))  # a few rows for each distinct calendar year
+    table = bounded(window_table(years, span, days), (high - low + 1) * (span[1] - span[0] + 1) * 3)
     return near.join(table, "calendar").where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end"))).drop("calendar", "start", "end")
 
 
-def reduce_by(df: DataFrame, keys: list[str], stat: str, top: int | None = None, value: str = "value") -> DataFrame:
-    """keys and the statistic of ``value``; the standard deviation is that of a population."""
+def reduce_by(df: DataFrame, keys: list[str], stat: str, top: int | None = None, value: str | Sequence[str] = "value") -> DataFrame:
+    """keys and the statistic of ``value``, or of several values; the standard deviation is that of a population."""
+    values = [value] if isinstance(value, str) else list(value)
     if top is not None:
-        order = F.col(value).desc() if stat == "mean_n_max" else F.col(value).asc()
-        best = df.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__r") <= top)
-        return best.groupBy(*keys).agg(F.avg(value).alias(value))
+        # each value has its own extremes, so values become rows
+        rows = df.select(*keys, F.explode(F.array(*(F.struct(F.lit(v).alias("__name"), F.col(v).alias("__value")) for v in values))).alias("__x")).select(*keys, "__x.*")
+        order = F.col("__value").desc() if stat == "mean_n_max" else F.col("__value").asc()
+        best = rows.where(F.col("__value").isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__name").orderBy(order))).where(F.col("__r") <= top)
+        return best.groupBy(*keys).agg(*(F.avg(F.when(F.col("__name") == v, F.col("__value"))).alias(v) for v in values))
     fn = {"mean": F.avg, "min": F.min, "max": F.max, "sd": F.stddev_pop}[stat]
-    return df.groupBy(*keys).agg(fn(value).alias(value))
+    return df.groupBy(*keys).agg(*(fn(v).alias(v) for v in values))
 
 
 def transformed(value: Column, transform: Transform | None) -> Column:
@@ -119,6 +125,32 @@ def within_radius(points: DataFrame, pixels: DataFrame, radius_m: float) -> Data
     return joined.where(near).select("row_id", "pixel_id")
 
 
+def _reached(keyed: DataFrame, steps: Sequence[Step], locations: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs (pixel_id, request_year) that requests can reach, and the circles (latitude, longitude, pixel_id) if there are any."""
+    radius = max((s.span[0] for s in steps if s.kind == "spatial"), default=0)
+    if not radius:
+        return keyed.select("pixel_id", "request_year").where("pixel_id is not null").distinct(), None
+    places = keyed.select("latitude", "longitude").distinct()
+    low, high = places.agg(F.min("latitude"), F.max("latitude")).first()
+    if low is not None:  # the circles' bounds in latitude reach the scan; those in longitude may wrap
+        reach = radius / 110_000.0
+        locations = locations.where(F.col("lat").between(low - reach, high + reach))
+    # equal places share one circle
+    points = places.select(F.struct("latitude", "longitude").alias("row_id"), "latitude", "longitude")
+    near = within_radius(points, locations, radius).select("row_id.latitude", "row_id.longitude", "pixel_id")
+    asked = keyed.select("latitude", "longitude", "request_year").distinct()
+    return near.join(asked, ["latitude", "longitude"]).select("pixel_id", "request_year").distinct(), near
+
+
+def reachable(pixels: DataFrame, reached: DataFrame) -> DataFrame:
+    """``pixels`` whose id is among those of ``reached``; the ids' bounds are pushed down to the scan."""
+    ids = reached.select("pixel_id").distinct()
+    n, low, high = ids.agg(F.count("*"), F.min("pixel_id"), F.max("pixel_id")).first()
+    if not n:
+        return pixels.limit(0)
+    return pixels.where(F.col("pixel_id").between(low, high)).join(bounded(ids, n, 32), "pixel_id", "left_semi")
+
+
 def evaluate(requests: DataFrame, pixels: DataFrame, steps: Sequence[Step], transform: Transform | None = None, mask: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:
     """row_id and value of each request: date filter, transform, mask, then the steps from the inside out.
 
@@ -127,35 +159,38 @@ def evaluate(requests: DataFrame, pixels: DataFrame, steps: Sequence[Step], tran
     mask.  ``locations``: pixel_id, lat, lon, needed for a radius over 0.
     Requests with no pixel have a null value.
     """
-    steps = with_default_space(list(steps))
+    return evaluate_columns(requests, pixels, steps, {"value": transformed(F.col("value"), transform)}, mask, locations)
+
+
+def evaluate_columns(requests: DataFrame, pixels: DataFrame, steps: Sequence[Step], values: dict[str, Column], mask: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:
+    """As ``evaluate``, but for several values of a pixel, by name, in one pass: row_id and a column for each."""
+    steps, names = with_default_space(list(steps)), list(values)
     span, days = ranges(steps)
-    now = in_windows(pixels.select("ts", "pixel_id", "value"), requests, span, days)
-    now = now.withColumn("value", transformed(F.col("value"), transform))
-    if mask is not None:
-        now = now.join(mask, ["pixel_id", "request_year"]).withColumn("value", F.col("value") * F.col("mask"))
     keyed = requests.select("row_id", "latitude", "longitude", F.col("year").cast("int").alias("request_year"), "pixel_id")
+    reached, near = _reached(keyed, steps, locations)
+    now = in_windows(reachable(pixels, reached).select("ts", "pixel_id", *(v.alias(n) for n, v in values.items())), requests, span, days)
+    now = now.join(reached, ["pixel_id", "request_year"], "left_semi")
+    if mask is not None:
+        now = now.join(mask, ["pixel_id", "request_year"]).withColumns({n: F.col(n) * F.col("mask") for n in names})
     place = ["pixel_id", "request_year"]
     for i, step in enumerate(steps):
         if step.kind == "julian":
-            now = reduce_by(now, [*place, "year"], step.stat, step.top)
+            now = reduce_by(now, [*place, "year"], step.stat, step.top, names)
         elif step.kind == "years":
-            now = reduce_by(now, place, step.stat, step.top)
+            now = reduce_by(now, place, step.stat, step.top, names)
         else:
-            radius, last = step.span[0], i == len(steps) - 1
-            if radius > 0:
-                # equal places share one circle and one value
-                points = keyed.select("latitude", "longitude").distinct().select(F.struct("latitude", "longitude").alias("row_id"), "latitude", "longitude")
-                near = within_radius(points, locations, radius).select("row_id.latitude", "row_id.longitude", "pixel_id")
+            last = i == len(steps) - 1
+            if step.span[0] > 0:
                 asked = keyed.select("latitude", "longitude", "request_year").distinct()
                 now = now.join(near, "pixel_id").join(asked, ["latitude", "longitude", "request_year"], "left_semi")
                 place = ["latitude", "longitude", "request_year"]
             elif last and i:
                 # one value for each pixel and request year
-                now = now.withColumn("value", F.col("value") * 0) if step.stat == "sd" else now
+                now = now.withColumns({n: F.col(n) * 0 for n in names}) if step.stat == "sd" else now
                 break
             kept = [c for c in ("year", "ts") if c in now.columns and not last]
-            now = reduce_by(now, [*place, *kept], step.stat, step.top)
-    return keyed.join(now.select(*place, "value"), place, "left").select("row_id", "value")
+            now = reduce_by(now, [*place, *kept], step.stat, step.top, names)
+    return keyed.join(now.select(*place, *names), place, "left").select("row_id", *names)
 
 
 def outside_guard(year: Column, value: Column, span: tuple[int, int], first: int, last: int, relaxed: bool = False) -> Column:
@@ -179,10 +214,13 @@ def landcover_shares(pixels: DataFrame, keys: list[str], classes: int, code: str
     return pixels.groupBy(*keys).agg(*(F.avg((F.col(code) == k).cast("double")).alias(f"lulc_prop_area_{k}") for k in range(classes)))
 
 
-def yearly_then_mean(pixels: DataFrame, stat: str = "max") -> DataFrame:
-    """A statistic by pixel and year, then the mean over years."""
+def yearly_then_mean(pixels: DataFrame, stat: str = "max", around: int | None = None) -> DataFrame:
+    """A statistic by pixel and year, then the mean over all years, or by pixel and year over that year and ``around`` before and after it."""
     yearly = reduce_by(pixels.withColumn("year", F.year("ts")), ["pixel_id", "year"], stat)
-    return yearly.groupBy("pixel_id").agg(F.avg("value").alias("value"))
+    if around is None:
+        return yearly.groupBy("pixel_id").agg(F.avg("value").alias("value"))
+    near = Window.partitionBy("pixel_id").orderBy("year").rangeBetween(-around, around)  # a row for each year of a pixel
+    return yearly.select("pixel_id", "year", F.avg("value").over(near).alias("value"))
 
 
 def yearly_mode(pixels: DataFrame, code: str = "label") -> DataFrame:
@@ -192,12 +230,40 @@ def yearly_mode(pixels: DataFrame, code: str = "label") -> DataFrame:
     return counts.groupBy("pixel_id", "year").agg((-best["least"]).alias("mode"))
 
 
+#: Rank error of the approximate percentiles that bracket the exact ones, as a share of a group's rows.
+_BRACKET = 1e-4
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], shares: Sequence[float], value: str = "value") -> DataFrame:
+    """keys and ``p0``, ``p1``, … the exact percentiles, interpolated, of each group; groups may be of any size.
+
+    Approximate percentiles bracket each share; what lies below a bracket is only counted, and
+    only the distinct values within it are sorted, a few ten-thousandths of a group.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
+    ends = [min(max(p + side * 2 * _BRACKET, 0.0), 1.0) for p in shares for side in (-1, 1)]
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.percentile_approx("__v", ends, round(1 / _BRACKET)).alias("__ends"))
+    out = groups.select(*keys)
+    large = F.col("__n") > round(1 / _BRACKET)  # smaller groups are sorted whole
+    distinct = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).join(groups, keys)
+    for i, p in enumerate(shares):
+        low, high = F.when(large, F.col("__ends")[2 * i]), F.when(large, F.col("__ends")[2 * i + 1])
+        below = distinct.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col("__v") < low, F.col("__c"))), F.lit(0)).alias("__below"))
+        inside = distinct.where(~F.coalesce((F.col("__v") < low) | (F.col("__v") > high), F.lit(False))).join(below, keys)
+        upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))
+        placed = inside.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__c"))
+        at = F.lit(p) * (F.col("__n") - 1)
+        first, second = F.floor(at), F.least(F.floor(at) + 1, F.col("__n") - 1)
+        holds = lambda rank: F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__v")))
+        both = placed.groupBy(*keys, "__n").agg(holds(first).alias("__a"), holds(second).alias("__b"))
+        out = out.join(both.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * (at - first)).alias(f"p{i}")), keys)
+    return out
+
+
 def percentile_stretch(pixels: DataFrame, keys: list[str]) -> DataFrame:
     """p10 and p90 of each group; p10 is 0 where both are equal."""
-    p = F.percentile("value", F.array(F.lit(0.1), F.lit(0.9)))
-    both = pixels.groupBy(*keys).agg(p.alias("p"))
-    low, high = F.col("p")[0], F.col("p")[1]
-    return both.select(*keys, F.when(low == high, F.lit(0.0)).otherwise(low).alias("low"), high.alias("high"))
+    both = exact_percentiles(pixels, keys, (0.1, 0.9))
+    return both.select(*keys, F.when(F.col("p0") == F.col("p1"), F.lit(0.0)).otherwise(F.col("p0")).alias("low"), F.col("p1").alias("high"))
 
 
 def first_image(pixels: DataFrame) -> DataFrame:

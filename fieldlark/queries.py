@@ -347,7 +347,13 @@ def validity_update(store: Store) -> DataFrame:
     return traits.set_validity(store.content, verdicts).select("id", "is_valid")
 
 
-_ERRORS = " OR ".join(f"contains(lower(text), '{p.replace(chr(39), chr(39) * 2)}')" for p in T.ERROR_PATTERNS)
+#: Written out once more, so that the reference SQL does not depend on the code's list (fixed values).
+_ERROR_LIST = (
+    "you need to enable javascript", "please enable javascript", "403 forbidden", "401 unauthorized", "404 not found", "too many requests", "service unavailable",
+    "bad gateway", "gateway timeout", "captcha", "are you a robot", "bot detection", "bot detected", "cloudflare", "akamai", "imperva",
+    "click here if you are not redirected", "internal server error", "we''ve detected unusual activity from your network.",
+)
+_ERRORS = " OR ".join(f"contains(lower(text), '{p}')" for p in _ERROR_LIST)
 _FLAT = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 
 
@@ -411,9 +417,11 @@ def url_parts(store: Store) -> DataFrame:
     return store.raw("pages").select("page_id", urls.host(u).alias("host"), urls.origin(u).alias("origin"), urls.parent(u).alias("parent"))
 
 
-@query("SELECT page_id, 'Aphids of the north' AS title FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(url, '[^A-Za-z0-9.:-]', '_', 'g') || CASE page_id % 3 WHEN 0 THEN ' of 5% é' ELSE '' END, '[_ ]+', ' ', 'g')) AS title FROM pages")
 def publication_title(store: Store) -> DataFrame:
-    slug = F.concat(F.lit("https://x.org/publication/"), F.col("page_id").cast("string"), F.lit("_Aphids%20of_the__north_(1999)?a=1"))
+    """Titles made of the pages' URLs; a third have escapes, and a percent sign that is none."""
+    more = F.when(F.col("page_id") % 3 == 0, "%20of+5%_%C3%A9").otherwise("")
+    slug = F.concat(F.lit("https://x.org/publication/"), F.col("page_id").cast("string"), F.lit("_"), F.regexp_replace("url", "[^A-Za-z0-9.:-]", "_"), more, F.lit("__(1999)?a=1"))
     return store.raw("pages").select("page_id", urls.publication_title(slug).alias("title"))
 
 
@@ -436,21 +444,51 @@ def small_text_functions(store: Store) -> DataFrame:
     return store.raw("documents").select("doc_id", T.no_punctuation(F.lower(s)).alias("bare"), F.replace(s, F.lit("s"), F.lit("[species]")).alias("template"), T.cache_key(s).alias("cache_key"), T.short_key(s).alias("short_key"))
 
 
-@query(r"""SELECT ql.id, contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), string_split(lower(regexp_extract('"x ' || substr(d.text, 1, 3) || 'q" pest', '"([^"]+)"', 1)), ' ')[-1]) AS relevant
-FROM v_question_links ql JOIN documents d ON d.doc_id = ql.link_id WHERE NOT contains(substr(d.text, 1, 3), '"') AND NOT regexp_matches(substr(d.text, 1, 3), '\s')""")
+@query(r"""SELECT ql.id, contains(trim(regexp_replace(lower(d.text), '\s+', ' ', 'g')), string_split(lower('x ' || regexp_replace(substr(d.text, 1, 3), '["\s]', 'e', 'g') || CASE WHEN ql.id % 3 = 0 THEN 'q' ELSE '' END || 'e'), ' ')[-1]) AS relevant
+FROM v_question_links ql JOIN documents d ON d.doc_id = ql.link_id""")
 def relevance(store: Store) -> DataFrame:
+    """Every link against a phrase made of its text's first letters; a third have a letter more."""
     d = store.raw("documents").select(F.col("doc_id").alias("link_id"), "text")
-    head = F.substring("text", 1, 3)
-    rows = store.question_links.join(d, "link_id").where(~F.contains(head, F.lit('"')) & ~head.rlike(r"\s"))
-    return rows.select("id", T.is_relevant(F.col("text"), F.concat(F.lit('"x '), head, F.lit('q" pest'))).alias("relevant"))
+    head = F.regexp_replace(F.substring("text", 1, 3), r'["\s]', "e")
+    more = F.when(F.col("id") % 3 == 0, "q").otherwise("")
+    return store.question_links.join(d, "link_id").select("id", T.is_relevant(F.col("text"), F.concat(F.lit('"x '), head, more, F.lit('e" pest'))).alias("relevant"))
+
+
+_NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
+#: Letters that the word boundaries of the other engine do not know, as ones that it knows and lower case lacks.
+_KNOWN = "translate({}, 'éèñßêçíöüóä', 'ABCDEFGHIJK')"
+
+
+def _windows_sql(texts: str, phrase: str, buffer: int, key: str) -> str:
+    """(key, i, context) of the windows of ``phrase`` in the column norm of ``texts``, by positions of blanks."""
+    return f"""t AS (SELECT {key}, norm, {_KNOWN.format("norm")} AS m, {_KNOWN.format(phrase)} AS phrase FROM {texts}),
+g AS (SELECT {key}, norm, length(norm) AS n, string_split_regex(m, '\\b' || regexp_escape(phrase) || '\\b') AS gaps, length(phrase) AS k FROM t WHERE phrase <> ''),
+h AS (SELECT {key}, norm, n, unnest(range(1, len(gaps))) AS i, list_transform(gaps, lambda x: length(x)) AS gaps, k FROM g),
+p AS (SELECT {key}, norm, n, i, list_sum(gaps[1:i]) + (i - 1) * k AS s, list_sum(gaps[1:i]) + i * k AS e FROM h),
+w AS (SELECT {key}, norm, n, i, greatest(s - {buffer}, 0) AS s, least(e + {buffer}, n) AS e FROM p),
+c AS (SELECT {key}, norm, n, i, CASE WHEN strpos(reverse(substr(norm, 1, (s + 1)::BIGINT)), ' ') = 0 THEN 0 ELSE s + 1 - strpos(reverse(substr(norm, 1, (s + 1)::BIGINT)), ' ') END AS s,
+ CASE WHEN e >= n THEN n WHEN strpos(substr(norm, e::BIGINT), ' ') = 0 THEN n ELSE e + strpos(substr(norm, e::BIGINT), ' ') - 1 END AS e FROM w),
+f AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY {key} ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new_ FROM c),
+isl AS (SELECT *, sum(new_) OVER (PARTITION BY {key} ORDER BY i) AS island FROM f),
+mrg AS (SELECT {key}, island, any_value(norm) AS norm, any_value(n) AS n, min(s) AS s, max(e) AS e FROM isl GROUP BY {key}, island),
+windows AS (SELECT {key}, island, CASE WHEN s > 0 THEN '... ' ELSE '' END || trim(substr(norm, (s + 1)::BIGINT, (e - s)::BIGINT)) || CASE WHEN e < n THEN ' ...' ELSE '' END AS context FROM mrg)"""
 
 
-@query()
+_FIRST_WORD = _windows_sql(f"(SELECT doc_id, {_NORM} AS norm FROM documents)", "string_split(norm, ' ')[1]", 200, "doc_id")
+
+
+@query(f"WITH {_FIRST_WORD} SELECT doc_id, context FROM windows")
 def context_windows(store: Store) -> DataFrame:
     d = store.raw("documents").select("doc_id", T.one_line(F.col("text")).alias("norm"))
     return d.select("doc_id", F.explode(windows_column(F.col("norm"), F.element_at(F.split("norm", " "), 1), 200)).alias("context"))
 
 
+@query(f"WITH {_FIRST_WORD} SELECT doc_id, context FROM windows WHERE island = 1")
+def context_windows_limited(store: Store) -> DataFrame:
+    d = store.raw("documents").select("doc_id", T.one_line(F.col("text")).alias("norm"))
+    return d.select("doc_id", F.explode(windows_column(F.col("norm"), F.element_at(F.split("norm", " "), 1), 200, limit=1)).alias("context"))
+
+
 @query("""WITH s AS (SELECT user_id, event_id % 5000 AS "start", event_id % 5000 + 200 AS "end" FROM events),
 m AS (SELECT *, CASE WHEN "start" - max("end") OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 100 THEN 0 ELSE 1 END AS f FROM s),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS k FROM m)
@@ -481,7 +519,11 @@ def answer_schema_check(store: Store) -> DataFrame:
     return store.raw("events").select("event_id", replies.is_valid_reply(reply).alias("valid"), replies.parsed_reply(reply)["answer_text"].alias("answer_text"))
 
 
-@query()
+@query(f"""WITH pairs AS (SELECT ql.id AS question_link_id, CASE WHEN ql.link_id % 2 = 0 THEN 'the' ELSE 'zzz' END AS phrase, {_NORM.replace("text", "d.text")} AS norm
+ FROM v_question_links ql JOIN v_questions q ON q.id = ql.question_id JOIN documents d ON d.doc_id = ql.link_id),
+{_windows_sql("(SELECT question_link_id, norm, phrase AS ph FROM pairs WHERE contains(norm, phrase))", "ph", 100, "question_link_id")}
+SELECT question_link_id, CAST(NULL AS VARCHAR) AS answer_text, CAST(NULL AS VARCHAR) AS reason, context FROM windows
+UNION ALL SELECT question_link_id, 'not relevant context', phrase || ' not found in the context', norm FROM pairs WHERE NOT contains(norm, phrase)""")
 def answer_rows(store: Store) -> DataFrame:
     d = store.raw("documents").select(F.col("doc_id").alias("link_id"), "text")
     q = store.questions.select(F.col("id").alias("question_id"), F.col("text").alias("question"))
@@ -717,7 +759,21 @@ def mask_class(store: Store) -> DataFrame:
     return store.raster.select("label", datasets.mask_class(F.col("label"), "gdw").alias("class")).distinct()
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+('clum_landcover', 'CLUM-50m-{year}', 'b1', [2020], 'dataset_year_pattern', '[[300, 353], 361, 364, [400, 454], 461, 464, [510, 515]]', '[[100, 210], 360, 362, 363, 365, 460, 462, 463, 465]', NULL, false),
+('corine', 'COPERNICUS/CORINE/V20/100m/{year}', 'landcover', [1990, 2000, 2006, 2012, 2018], 'dataset_year_pattern', '[[211, 244]]', '[[311, 423]]', NULL, false),
+('dea_landcover', 'dea_landcover_{year}_compressed', 'b1', range(1998, 2021), 'dataset_year_pattern', '[1, [3, 8], [14, 18]]', '[[19, 36], [55, 92], [94, 97]]', NULL, false),
+('era5_max_air_temp', 'ECMWF/ERA5/DAILY', 'maximum_2m_air_temperature', range(1979, 2020), 'date', '[]', '[]', 'max', false),
+('era5_mean_air_temp', 'ECMWF/ERA5/DAILY', 'mean_2m_air_temperature', range(1979, 2020), 'date', '[]', '[]', 'mean', false),
+('era5_min_air_temp', 'ECMWF/ERA5/DAILY', 'minimum_2m_air_temperature', range(1979, 2020), 'date', '[]', '[]', 'min', false),
+('era5_precip', 'ECMWF/ERA5/DAILY', 'total_precipitation', range(1979, 2020), 'date', '[]', '[]', 'sum', false),
+('gdw', 'GOOGLE/DYNAMICWORLD/V1', 'label', range(2015, 2023), 'date', '[4]', '[[1, 3], 5]', NULL, true),
+('gfsad', 'USGS/GFSAD1000_V1', 'landcover', [2010], 'None', '[[1, 5]]', '[0]', NULL, false),
+('modis', 'MODIS/061/MCD12Q1', 'LC_Type2', range(2001, 2021), 'date', '[12, 14]', '[[1, 11]]', NULL, false),
+('nass', 'USDA/NASS/CDL', 'cropland', range(1997, 2021), 'date', '[[1, 77], [204, 254]]', '[87, [141, 195]]', NULL, false),
+('nlcd', 'USGS/NLCD_RELEASES/2016_REL', 'landcover', [1992, 2001, 2004, 2006, 2008, 2011, 2013, 2016], 'date', '[81, 82]', '[[41, 74], [90, 95]]', NULL, false),
+('precip_daymet', 'NASA/ORNL/DAYMET_V4', 'prcp', range(1980, 2021), 'dataset_string', '[]', '[]', 'sum', true)
+) AS t(section, dataset, band, valid_years, filter_by, cultivated, "natural", seasonal, disabled)""")
 def dataset_catalog(store: Store) -> DataFrame:
     return datasets.catalog(store.spark)
 
@@ -728,13 +784,18 @@ def find_closest(store: Store) -> DataFrame:
     return store.raw("part").select("p_partkey", raster.find_closest(years, F.lit(1985) + F.col("p_size")).alias("closest"))
 
 
-@query("""SELECT page_id, '2001-01-01' AS start_date, '2020-01-01' AS end_date, 'ImageCollection' AS dataset_type, 'A/' || page_id AS dataset_id, CASE page_id % 2 WHEN 0 THEN 'years' ELSE 'julian' END AS temporal_resolution, 500 AS nominal_scale FROM pages""")
+@query("""SELECT page_id, '20' || lpad(CAST(page_id % 20 AS VARCHAR), 2, '0') || '-01-01' AS start_date, '2020-01-01' AS end_date, CASE page_id % 5 WHEN 0 THEN 'Image' ELSE 'ImageCollection' END AS dataset_type, url AS dataset_id,
+CASE page_id % 3 WHEN 0 THEN 'years' WHEN 1 THEN 'julian' END AS temporal_resolution, CASE page_id % 4 WHEN 0 THEN CAST(page_id AS INT) WHEN 1 THEN 1000 + CAST(page_id % 9 AS INT) END AS nominal_scale FROM pages""")
 def catalog_page(store: Store) -> DataFrame:
-    cadence = F.when(F.col("page_id") % 2 == 0, "Year").otherwise("Day")
-    html = F.concat(
-        F.lit("Dataset Availability\n 2001-01-01T00:00:00Z - 2020-01-01T00:00:00Z Earth Engine Snippet ee.ImageCollection(\"A/"), F.col("page_id").cast("string"), F.lit('") Cadence 1 '), cadence,
-        F.lit(" Pixel Size 500 meters"))
-    return store.raw("pages").select("page_id", *datasets.parse_catalog_page(html))
+    """The raw pages with a catalog's parts inside, of which some lack a cadence or give the scale in another way."""
+    k = F.col("page_id")
+    parts = [
+        F.col("html"), F.lit("Dataset Availability\n 20"), F.lpad((k % 20).cast("string"), 2, "0"), F.lit("-01-01T00:00:00Z - 2020-01-01T00:00:00Z <p>Earth Engine Snippet</p> ee."), F.when(k % 5 == 0, "Image").otherwise("ImageCollection"), F.lit('("'), F.col("url"),
+        F.lit('") '), F.when(k % 3 == 0, "Cadence 1 Year").when(k % 3 == 1, "Cadence 16 Day").otherwise(""),
+        F.when(k % 4 == 0, F.concat(F.lit(" Pixel Size "), k.cast("string"), F.lit(" meters"))).when(k % 4 == 1, F.concat(F.lit("<p> <b>Resolution</b> <br> 1,00"), (k % 9).cast("string"), F.lit(" meters"))).otherwise(""),
+        F.col("html"),
+    ]
+    return store.raw("pages").select("page_id", *datasets.parse_catalog_page(F.concat(*parts)))
 
 
 @query("SELECT p_partkey, CAST(y AS VARCHAR) AS span FROM (SELECT p_partkey, unnest(range(1990, 1990 + p_size % 4 + 1)) AS y FROM part) x")

@@ -29,6 +29,10 @@ def missing_point_columns(header: Sequence[str]) -> list[str]:
     return files.missing_columns(header, POINT_COLUMNS)
 
 
+#: Values of a covariate that the form offers at most; more are found by typing.
+MOST_VALUES = 10_000
+
+
 class ObservationService:
     """Answers forms over a store; ``remember`` keeps forms by id in a mapping of the caller's choice."""
 
@@ -84,7 +88,7 @@ class ObservationService:
 
     def search_fields(self) -> dict[str, object]:
         """What the query form offers: values or a type for each covariate, and the places."""
-        values = {r["name"]: r["values"] for r in catalog.searchable_values(self.store).collect()}
+        values = {r["name"]: r["values"] for r in catalog.searchable_values(self.store, MOST_VALUES).collect()}
         types = {r["name"]: r["type_name"] for r in catalog.continuous_covariates(self.store).collect()}
         of = {k: sorted(r[0] for r in catalog.places(self.store, k).collect()) for k in ("COUNTRY", "CONTINENT")}
         return {"covariates": values | types, "countries": of["COUNTRY"], "continents": of["CONTINENT"], "sample_count": self.store.sample.count()}

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shipped definitions (fixed values): name, dataset, band, first and last year or the years
+#: Shipped definitions (fixed values, but for the first dataset, a substitute for a private upload): name, dataset, band, first and last year or the years
 #: listed, how images are chosen, cultivated and natural codes (pairs are inclusive), season.
 CATALOG = (
     ("clum_landcover", "CLUM-50m-{year}", "b1", [2020], "dataset_year_pattern", [(300, 353), 361, 364, (400, 454), 461, 464, (510, 515)], [(100, 210), 360, 362, 363, 365, 460, 462, 463, 465], None),
@@ -36,6 +36,12 @@ def catalog(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def with_scale(wanted: DataFrame, pages: DataFrame, default: int = 30) -> DataFrame:
+    """``wanted`` (with ``dataset_id``) with the native scale in meters that the catalog pages give, or the default."""
+    scales = pages.groupBy("dataset_id").agg(F.min("nominal_scale").alias("__scale"))
+    return wanted.join(scales, "dataset_id", "left").withColumn("scale", F.coalesce("__scale", F.lit(default))).drop("__scale")
+
+
 def _years(text: str) -> list[int]:
     """A literal list, or ``list(range(a, b))``; nothing is evaluated."""
     text = text.strip()

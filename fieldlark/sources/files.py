@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import time
 import zipfile
 from collections.abc import Sequence
+from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,6 +114,48 @@ def write_zip(tables: dict[str, DataFrame], path: str, missing: dict[str, str] |
                 stream_csv(df, text, (missing or {}).get(name, ""))
 
 
+def remove_expired(folder: str | Path, seconds: float = 3600, pattern: str = "*.zip", now: float | None = None) -> list[str]:
+    """Removes a folder's downloads that are older than ``seconds``; gives their names."""
+    old = [p for p in sorted(Path(folder).glob(pattern)) if (now or time.time()) - p.stat().st_mtime > seconds]
+    for p in old:
+        p.unlink(missing_ok=True)
+    return [p.name for p in old]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise SourceError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='scratch-')).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def _filesystem(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a table kept by ``write_version``."""
+    path, fs = _filesystem(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [s.getPath() for s in fs.listStatus(path)]
+    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def write_version(df: DataFrame, folder: str) -> int:
+    """Writes ``df`` as the table's next version, which leaves those before as its backup; gives its number."""
+    number = max(versions(df.sparkSession, folder), default=0) + 1
+    df.write.mode("overwrite").parquet(f"{folder}/v={number}")
+    return number
+
+
+def read_version(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """One version of a table, the last by default."""
+    return spark.read.parquet(f"{folder}/v={number or max(versions(spark, folder))}")
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
@@ -136,6 +182,3 @@ def expand_years(df: DataFrame, column: str = "Year") -> DataFrame:
     years = F.when(F.col(column).rlike("^[0-9]+-[0-9]+$"), F.transform(F.sequence(both[0].cast("int"), both[1].cast("int")), lambda y: y.cast("string"))).otherwise(F.array(column))
     return df.withColumn(column, F.explode(years))
 
-
-def latest(candidates: Sequence[Column]) -> Column:
-    return F.coalesce(*candidates)

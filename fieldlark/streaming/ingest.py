@@ -11,12 +11,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.text import content_hash
 
 
-def read_pages(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_pages(spark: SparkSession, path: str, schema: str | StructType, files: int = 64) -> DataFrame:
+    """A folder of Parquet files as a stream, or a single file."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
 
 
 def dedup_contents(pages: DataFrame, text: str = "text", event_time: str | None = None, within: str | None = None) -> DataFrame:
@@ -27,23 +33,14 @@ def dedup_contents(pages: DataFrame, text: str = "text", event_time: str | None
     return hashed.dropDuplicates(["content_hash"])
 
 
-def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch writer that appends the keys a table lacks: a batch that is run again adds nothing."""
+def append_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps each batch in a folder of its own: a batch that is run again replaces itself, and the table is never read."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            known = spark.read.parquet(path).select(*keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            known = None
-        new = batch.dropDuplicates(keys)
-        new = new if known is None else new.join(known, keys, "left_anti")
-        new.write.mode("append").parquet(path)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def run_ingest(pages: DataFrame, out: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-    return dedup_contents(pages, text).writeStream.foreachBatch(append_new(out, ["content_hash"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return dedup_contents(pages, text).writeStream.foreachBatch(append_batch(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import pytest
 from compare import assert_same, connect
 
+import fieldlark.queries_io  # noqa: F401  registers its queries
 from fieldlark.queries import ORACLES, QUERIES
 
 

@@ -112,6 +112,22 @@ def test_stream(spark, tmp_path):
     assert {r.text for r in spark.read.parquet(out).select("text").collect()} == {"a", "b", "c"}
 
 
+def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
+    write, out = ingest.append_batch(str(tmp_path / "t")), str(tmp_path / "t")
+    first, second = spark.range(3), spark.range(3, 5)
+    for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write(batch, number)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_versions(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    assert files.versions(spark, folder) == []
+    assert [files.write_version(spark.range(n), folder) for n in (1, 2)] == [1, 2]
+    (tmp_path / "v" / "v=3").mkdir()  # a write that broke off
+    assert files.read_version(spark, folder).count() == 2 and files.read_version(spark, folder, 1).count() == 1
+
+
 def test_organic(spark):
     rows = [(1, "organic", i, f"u{i}") for i in range(12)] + [(1, "ad", 0, "x")]
     df = files.organic(spark.createDataFrame(rows, "question_id long, type string, position int, url string"))

@@ -1,10 +1,13 @@
+import random
 import zipfile
 
 import pytest
 
 from fieldlark import cli
 from fieldlark.plans.expr import ExprError
-from fieldlark.plans.extract import Extraction, check_stat, extract
+from fieldlark.plans import raster
+from fieldlark.plans.expr import parse
+from fieldlark.plans.extract import Extraction, check_form, check_stat, extract
 from fieldlark.service import ObservationService, missing_point_columns, query_id
 from fieldlark.sources.tables import Store
 
@@ -67,6 +70,43 @@ def test_extract(spark):
     assert masked["D:b_years_mean(0,0)"] == 13.5
 
 
+def test_form(spark):
+    one = spark.range(1)
+    check_form(one, [Extraction("ECMWF/ERA5/MONTHLY", "total_precipitation", "spatial_max(100;years_mean(0,0))", mask=("GOOGLE/DYNAMICWORLD/V1", "label", (1.0,)))])
+    for wrong in (
+        Extraction("A", "b", "years_mean(0,0)"), Extraction("GOOGLE/DYNAMICWORLD/V1", "crops", "spatial_sd(0;years_mean(0,0))"),
+        Extraction("ECMWF/ERA5/MONTHLY", "total_precipitation", "years_mean(0,0)", mask=("A", "b", (1.0,))),
+    ):
+        with pytest.raises(ExprError):
+            check_form(one, [wrong])
+    with pytest.raises(ExprError, match="5000 points"):
+        check_form(spark.range(5001), [])
+
+
+def test_only_reachable_pixels_are_read(spark):
+    pixels = spark.range(1000).selectExpr("timestamp'2001-05-01 00:00:00' AS ts", "id AS pixel_id", "double(id) AS value")
+    request = spark.createDataFrame([(0, 0.0, 0.0, 2001, 7), (1, 0.0, 0.0, 2001, None)], "row_id long, latitude double, longitude double, year int, pixel_id long")
+    df = raster.evaluate(request, pixels, parse("years_max(0,0)"))
+    assert {r.row_id: r.value for r in df.collect()} == {0: 7.0, 1: None}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2 and ">= 7" in plan and "<= 7" in plan
+
+
+@pytest.mark.parametrize("bracket", [1e-4, 0.02])
+def test_exact_percentiles(spark, bracket, monkeypatch):
+    monkeypatch.setattr(raster, "_BRACKET", bracket)
+    rng = random.Random(3)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(400)] + [("b", float(rng.randrange(4))) for _ in range(300)] + [("c", 1.0), ("d", None)] + [("e", float(x)) for x in (1, 2)]
+    got = {r.k: (r.p0, r.p1) for r in raster.exact_percentiles(spark.createDataFrame(rows, "k string, value double"), ["k"], (0.1, 0.9)).collect()}
+    assert set(got) == {"a", "b", "c", "e"}
+    for k, (low, high) in got.items():
+        values = sorted(v for x, v in rows if x == k)
+        for p, mine in ((0.1, low), (0.9, high)):
+            at = p * (len(values) - 1)
+            i = int(at)
+            assert abs(mine - (values[i] + (values[min(i + 1, len(values) - 1)] - values[i]) * (at - i))) < 1e-9
+
+
 def test_sources():
     check_stat("ECMWF/ERA5/MONTHLY:total_precipitation", "max")
     with pytest.raises(ExprError):
@@ -89,7 +129,10 @@ def test_cli(spark, sf_dir, tmp_path):
     (tmp_path / "p.txt").write_text("NATION_1\n")
     assert cli.run(spark, ["purge", sf_dir, str(tmp_path / "p.txt"), "--out", str(tmp_path / "v2")]).count() == 5
     assert spark.read.parquet(str(tmp_path / "v2" / "species.parquet")).where("name = 'NATION_1'").count() == 0
+    assert cli.run(spark, ["ask", "--context", "A bee  can fly.", "--query", "Can it?"]).first().answer == "yes"
     (tmp_path / "pt.csv").write_text("Latitude,Longitude,Year\n-89.63,-100.81,1996\n")
     (tmp_path / "ds.csv").write_text('Dataset ID,Band Name,Spatiotemporal Aggregation Function,Pixel Value Transform\nDS_R,value,"spatial_mean(0;years_mean(-1,0))",n/a\n')
     cli.run(spark, ["eo", sf_dir, str(tmp_path / "pt.csv"), str(tmp_path / "ds.csv"), str(tmp_path / "eo")])
     assert len(spark.read.csv(str(tmp_path / "eo"), header=True).columns) == 5
+    with pytest.raises(ExprError, match="unknown source"):
+        cli.run(spark, ["eo", sf_dir, str(tmp_path / "pt.csv"), str(tmp_path / "ds.csv"), str(tmp_path / "eo2"), "--form"])
