@@ -11,10 +11,11 @@ similarity 0.8 shares none with probability (1 - 0.8^5)^40, about 1e-7.
 
 Verification.  Candidates are compared by their whole sets.  At first each class only meets the
 pivot of each of its keys, the member that shares most keys with others, and linked classes are joined to
-components.  Then, under a key that still has several components, the members outside the
+components.  Then, around a pivot whose keys' members still have several components, those outside the
 largest one meet all members in blocks of ``CHUNK`` sets; a block returns links only, so no
-list of pairs is ever made.  So the components are those of all links among candidates.  The
-work of the blocks is the product of a key's members and of those outside its largest component.
+list of pairs is ever made, and a class is sent once for a pivot, not once for a key.  So the components are those of
+all links among candidates.  The work of the blocks is the product of a pivot's members and of those
+outside the largest component.
 
 Defined cases: null text is empty; texts without words are one class; texts shorter than a
 shingle are one shingle; rows that repeat are kept; a null key never is the smallest; very long
@@ -161,50 +162,52 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def across(of: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the components that meet under one key; ``of``: key, cls, n, root."""
-    parts = of.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    """Links (a, b) between the components that meet around one pivot; ``of``: pivot, cls, n, root."""
+    parts = of.groupBy("pivot", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
     # kept, as a tie must not be settled in two ways
     top = F.max(F.struct("c", "w", "root"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("w").alias("w"), top.alias("top")).where("roots > 1")
+    mixed = parts.groupBy("pivot").agg(F.count("*").alias("roots"), F.sum("c").alias("c"), F.sum("w").alias("w"), top.alias("top")).where("roots > 1")
 
     def chunks(count: Column, weight: Column) -> Column:
         return F.greatest(F.ceil(count / CHUNK), F.ceil(weight / CHUNK_SHINGLES), F.lit(1)).cast("int")
 
-    mixed = cut(mixed.select("key", F.col("top.root").alias("most"), chunks(F.col("c"), F.col("w")).alias("mcs"), chunks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("rcs")))
-    left = of.join(mixed, "key").join(sets, "cls")
+    mixed = cut(mixed.select("pivot", F.col("top.root").alias("most"), chunks(F.col("c"), F.col("w")).alias("mcs"), chunks(F.col("c") - F.col("top.c"), F.col("w") - F.col("top.w")).alias("rcs")))
+    left = of.join(small_or_not(mixed, mixed.count(), 64), "pivot").join(sets, "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("mcs")).cast("int")
     own = F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("rcs")).cast("int")
     one = F.struct(F.lit(0).alias("side"), "cls", "root", "hashes")
-    rest = left.where("root <> most").select("key", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), one.alias("one"))
-    members = left.select("key", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), one.withField("side", F.lit(1)).alias("one"))
-    grouped = rest.union(members).groupBy("key", "rc", "mc").agg(F.collect_list("one").alias("all"))  # two chunks at most
+    rest = left.where("root <> most").select("pivot", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), one.alias("one"))
+    members = left.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), one.withField("side", F.lit(1)).alias("one"))
+    grouped = rest.union(members).groupBy("pivot", "rc", "mc").agg(F.collect_list("one").alias("all"))  # two chunks at most
     return grouped.where(F.exists("all", lambda x: x["side"] == 0) & F.exists("all", lambda x: x["side"] == 1)).select("all").mapInArrow(_blocks, "a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between classes whose components are those of all links; ``found`` are the signatures."""
     reps = found.groupBy("cls").agg(F.min(key).alias("least"))
+    classes = cut(found.select("cls", "n", "fp", "bands").dropDuplicates(["cls"]))
     # classes with near fingerprints, by Golay keys
-    prints = cut(found.groupBy("fp", "cls").agg(F.first("n").alias("n")))
-    first = cut(prints.groupBy("fp").agg(F.min("cls").alias("a")))
-    same = prints.join(first, "fp").select("a", F.col("cls").alias("b"))
+    first = cut(classes.groupBy("fp").agg(F.min("cls").alias("least")))
+    prints = small_or_not(first, first.count(), 48)
+    same = classes.select("fp", "cls").join(prints, "fp").select(F.col("least").alias("a"), F.col("cls").alias("b"))
     edges = near_fingerprints(first).distinct()
-    apart = edges.join(first.select(F.col("fp").alias("a"), F.col("a").alias("ca")), "a").join(first.select(F.col("fp").alias("b"), F.col("a").alias("cb")), "b")
-    close = same.union(apart.select("ca", "cb")).where("a <> b")
+    for end in ("a", "b"):
+        edges = edges.join(prints.select(F.col("fp").alias(end), F.col("least").alias(f"{end}_cls")), end)
+    close = same.union(edges.select("a_cls", "b_cls")).where("a <> b")
     # classes that share a key of minima
-    keys = found.select("cls", "n", F.explode("bands").alias("key")).distinct()
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = keys.join(sizes, "key").withColumn("degree", F.sum("members").over(Window.partitionBy("cls")))  # a class has few keys
+    keys = classes.select("cls", "n", F.explode("bands").alias("key"))
+    sizes = cut(keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = keys.join(small_or_not(sizes, sizes.count(), 48), "key").withColumn("degree", F.sum("members").over(Window.partitionBy("cls")))  # a class has few keys
     shared = cut(shared.select("key", "cls", "n", "degree"))
-    pivots = shared.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("pivot"))
-    stars = shared.join(pivots, "key").where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    pairs = cut(stars.union(close).distinct())
-    classes = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-    sets = cut(sets_of(classes, docs, reps, key, text))
+    pivots = cut(shared.groupBy("key").agg(F.max(F.struct("degree", "cls"))["cls"].alias("pivot")))
+    stars = cut(shared.join(small_or_not(pivots, pivots.count(), 48), "key").select("pivot", "cls", "n").distinct())
+    pairs = cut(stars.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).where("a <> b").union(close).distinct())
+    needed = cut(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    sets = cut(sets_of(needed, docs, reps, key, text))
     near = cut(verified(pairs, sets))
-    # what is still apart under one key
+    # what is still apart around one pivot
     roots = components(near)
-    of = shared.join(small_or_not(roots, roots.count(), 32), shared["cls"] == roots["node"], "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    of = stars.join(small_or_not(roots, roots.count(), 32), stars["cls"] == roots["node"], "left").select("pivot", "cls", "n", F.coalesce("root", "cls").alias("root"))
     return near.union(across(cut(of), sets))
 
 
