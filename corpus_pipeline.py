@@ -15,9 +15,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldlark.llm import blob_ledger, decontamination, jaccard, packing, quality
-from fieldlark.llm.common import new_folder, read, shared_folder
+from fieldlark.llm.common import free_name, new_folder, read, shared_folder
 from fieldlark.shipping import ship
 
 
@@ -28,7 +29,8 @@ LEDGER, RUN = "spark.corpus.ledger", "spark.corpus.run"
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(~quality.held_out())
     weights = quality.fit(docs, labels)
-    return quality.score(docs, weights, keep=docs.columns, out="__score").where("__score >= 0.5").drop("__score")
+    score = free_name(docs, "__score")
+    return quality.score(docs, weights, keep=docs.columns, out=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
