@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, small_or_not, span_digest, text_or_empty
+from .common import BROADCAST_BYTES, cut, free_name, small_or_not, span_digest, text_or_empty
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob_id string, rule string, version int, spans {SPANS}"
@@ -189,10 +189,11 @@ def redact(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
     A ``ledger`` must have all blobs of ``docs`` (see ``run``); without one all are scanned.
     """
     every = findings(scan_unseen(docs, text, None, rules), None, rules) if ledger is None else seen_findings(ledger, rules)
-    found = cut(every.select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans")))
-    size = found.agg(F.coalesce(F.sum(F.size("__spans") * 64 + 100), F.lit(0))).first()[0]
-    keyed = docs.withColumn("__blob", F.sha2(text_or_empty(text), 256))
-    joined = keyed.join(small_or_not(found, 1, size), "__blob", "left")  # texts are only shuffled when the findings are too many to broadcast
+    blob, spans = free_name(docs, "__blob"), free_name(docs, "__spans")
+    found = cut(every.select(F.col("blob_id").alias(blob), F.col("spans").alias(spans)))
+    size = found.agg(F.coalesce(F.sum(F.size(spans) * 64 + 100), F.lit(0))).first()[0]
+    keyed = docs.withColumn(blob, F.sha2(text_or_empty(text), 256))
+    joined = keyed.join(small_or_not(found, 1, size), blob, "left")  # texts are only shuffled when the findings are too many to broadcast
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -201,8 +202,8 @@ def redact(docs: DataFrame, text: str = "text", ledger: DataFrame | None = None,
         longer = F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
         return F.when(s["start"] >= acc["at"], new).otherwise(longer)
 
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    out = joined.withColumn(text, F.when(F.col("__spans").isNotNull() & F.col(text).isNotNull(), clean).otherwise(F.col(text)))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    out = joined.withColumn(text, F.when(F.col(spans).isNotNull() & F.col(text).isNotNull(), clean).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

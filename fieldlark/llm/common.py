@@ -13,6 +13,8 @@ from ..shipping import ship
 
 #: Largest table, in bytes, that an operator broadcasts.
 BROADCAST_BYTES = 32 << 20
+#: Rows that go to a Python worker at once.
+BATCH_ROWS = 1000
 #: Texts of Latin letters and common punctuation, whose lower case and classes are the same in every library.
 PLAIN = re.compile("[\t-\r\x20-\x7e\x85\xa0-ɏ‐-‧‰-⁞€]*")
 
@@ -43,6 +45,14 @@ def small_or_not(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from every column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``docs`` without the rows whose key is in ``gone``; a null key stays.
 
@@ -57,8 +67,14 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the directory; the first call sends the package to the workers."""
+    """A table of the directory; the first call sends the package to the workers.
+
+    Whole texts go to Python workers in batches of ``BATCH_ROWS``, unless the session asks for fewer.
+    """
     ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -25,6 +25,7 @@ texts are read whole; an empty table gives no rows; extra columns are not looked
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -148,17 +149,22 @@ def block_links(rest: list[tuple[int, int, np.ndarray]], members: list[tuple[int
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = [], []
-        for group in batch.column(0):
-            flat = group.values
-            side, cls, root = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            lists = flat.field(3)
-            parts = [(int(cls[i]), int(root[i]), lists[i].values.to_numpy(zero_copy_only=False)) for i in range(len(flat))]
-            for x, y in block_links([p for p, s in zip(parts, side) if s == 0], [p for p, s in zip(parts, side) if s == 1]):
-                a.append(x)
-                b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    """Rows (pivot, rc, mc, side, cls, root, hashes) in the order of their blocks; one block at a time is held."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            hashes = batch.column(6)
+            for i, row in enumerate(zip(*columns)):
+                yield row, hashes[i].values.to_numpy(zero_copy_only=False).copy()
+
+    for _, block in groupby(rows(), key=lambda r: r[0][:3]):
+        sides = ([], [])
+        for (_, _, _, side, cls, root), h in block:
+            sides[side].append((cls, root, h))
+        if sides[0] and sides[1]:
+            found = block_links(*sides)
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in range(2)], names=["a", "b"])
 
 
 def across(of: DataFrame, sets: DataFrame) -> DataFrame:
@@ -175,11 +181,10 @@ def across(of: DataFrame, sets: DataFrame) -> DataFrame:
     left = of.join(small_or_not(mixed, mixed.count(), 64), "pivot").join(sets, "cls")
     mine = F.pmod(F.xxhash64("cls"), F.col("mcs")).cast("int")
     own = F.pmod(F.xxhash64(F.lit(1), "cls"), F.col("rcs")).cast("int")
-    one = F.struct(F.lit(0).alias("side"), "cls", "root", "hashes")
-    rest = left.where("root <> most").select("pivot", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), one.alias("one"))
-    members = left.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), one.withField("side", F.lit(1)).alias("one"))
-    grouped = rest.union(members).groupBy("pivot", "rc", "mc").agg(F.collect_list("one").alias("all"))  # two chunks at most
-    return grouped.where(F.exists("all", lambda x: x["side"] == 0) & F.exists("all", lambda x: x["side"] == 1)).select("all").mapInArrow(_blocks, "a long, b long")
+    rest = left.where("root <> most").select("pivot", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), F.lit(0).alias("side"), "cls", "root", "hashes")
+    members = left.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), F.lit(1).alias("side"), "cls", "root", "hashes")
+    block = ["pivot", "rc", "mc"]  # two chunks at most
+    return rest.union(members).repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks, "a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,13 +9,16 @@ among the gap classes (the smallest gap that fits), pieces and gaps of the two c
 are matched by rank, the gaps shrink, and the sweep repeats until the class is used up
 or new sequences must be opened.  The outcome is best-fit decreasing, exactly.
 
-What the driver holds is bounded by ``SIZE``, not by the corpus: counts by class, and
+The sweeps themselves run on the driver: ``plan`` takes the counts of the classes and decides for ranges of
+equal pieces at once.  What the driver holds is bounded by ``SIZE``, not by the corpus: counts by class, and
 ranges of equal sequences.  The pieces stay distributed; a piece's rank in its class
 comes from its rank in one of many salted groups and the counts of the groups before,
 so a class that holds a third of all pieces is spread over all tasks.
 
 Defined cases: null text is empty; an empty document is one piece, its end token;
-documents that repeat are packed each; an empty table gives no rows.
+documents that repeat are packed each; an empty table gives no rows; very long texts are encoded whole and cut into
+pieces, of which the first may be shorter; pieces of one length are ranked by salt and then by their columns, and pieces equal in
+all of them may change places; extra columns of the documents are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -128,4 +128,40 @@ SELECT page_id, target, status, CASE status WHEN 'response' THEN page_id WHEN 'o
                  CASE WHEN NOT full_ AND status <> 'resolved' THEN 'set-cookie: ' || substr(mark, 1, 6) END) AS headers
 FROM s"""
 
-ORACLES = {"op1_secret_ledger": _op1_sql(), "op2_url_filter": _OP2_SQL, "op3_warc_revisits": _OP3_SQL}
+#: Letters that the word boundaries of the other engine do not know, as ones that it knows and lower case lacks.
+_KNOWN = "translate({}, 'éèñßêçíöüóä', 'ABCDEFGHIJK')"
+
+
+def _op8_sql() -> str:
+    """Patterns as the contract has them; checksums over lists of digits."""
+    number = "regexp_replace(v, '[^0-9]', '', 'g')"
+    compact = "replace(v, ' ', '')"
+    turned = f"string_split(substr({compact}, 5) || substr({compact}, 1, 4), '')"
+    rules = {
+        "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "true", 0.9),
+        "ip": ("[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)", "list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(TRY_CAST('0' || ltrim(x, '0') AS INT) <= 255, false)))", 0.6),
+        "card": ("[0-9](?:[ -]?[0-9])+", f"length({number}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({number}) + 1), lambda k: CAST(substr({number}, length({number}) - k + 1, 1) AS INT) * (2 - k % 2)"
+                 f" - CASE WHEN k % 2 = 0 AND CAST(substr({number}, length({number}) - k + 1, 1) AS INT) > 4 THEN 9 ELSE 0 END)) % 10 = 0", 0.8),
+        "phone": ("[+][0-9][ ().0-9-]+[0-9]", f"length({number}) BETWEEN 10 AND 15", 0.5),
+        "iban": ("\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b",
+                 f"list_reduce(list_prepend(0::BIGINT, list_transform({turned}, lambda c: CAST(CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END AS BIGINT))), lambda a, c: (a * CASE WHEN c > 9 THEN 100 ELSE 10 END + c) % 97) = 1", 0.9),
+    }
+    context = {"email": "e-?mail|mail|contact|write|kontakt|correo|courriel|@", "ip": "\\bip\\b|address|host|server|adresse", "card": "card|credit|visa|payment|karte|tarjeta|carte", "phone": "phone|tel|call|mobile|fax|anruf|llam", "iban": "iban|bank|account|konto|cuenta|compte"}
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, t, {i} AS r, '{kind}' AS kind, s, v, {prior} + CASE WHEN regexp_matches({_KNOWN.format('lower(substr(t, greatest(s - 40, 0)::BIGINT + 1, least(s, 40)::BIGINT))')}, '{context[kind]}') THEN {(1 - prior) / 2} ELSE 0.0 END AS score FROM ("
+        f"SELECT doc_id, t, hits[i] AS v, list_sum(gaps[1:i]) + coalesce(list_sum(lens[1:i-1]), 0) AS s FROM (SELECT doc_id, t, hits, lens, gaps, unnest(range(1, len(hits) + 1)) AS i FROM ("
+        f"SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS hits, list_transform(regexp_extract_all(t, '{pattern}'), lambda x: length(x)) AS lens, list_transform(string_split_regex(t, '{pattern}'), lambda x: length(x)) AS gaps FROM d"
+        f" WHERE regexp_matches(t, '{pattern}')) a) b) c WHERE {valid}"
+        for i, (kind, (pattern, valid, prior)) in enumerate(rules.items())
+    )
+    span = "kind || ':' || s::BIGINT || ':' || (s + length(v))::BIGINT"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+g AS (SELECT doc_id, {counts}, string_agg({span}, ',' ORDER BY s, r) FILTER (kind <> 'iban') AS base, string_agg({span}, ',' ORDER BY s, r) AS spans,
+ string_agg(printf('%.2f', score::DOUBLE), ',' ORDER BY s, r) AS scores FROM f GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id"""
+
+
+ORACLES = {"op1_secret_ledger": _op1_sql(), "op2_url_filter": _OP2_SQL, "op3_warc_revisits": _OP3_SQL, "op8_pii": _op8_sql()}
