@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import cut, new_folder
 
 BOOKS = 24
@@ -171,6 +172,7 @@ def _searcher(books, block, rerank: int):
 def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """query_id, rank, ``key`` and score (Euclidean distance) of the ``top`` nearest found for each query but itself."""
     spark = vectors.sparkSession
+    ship(spark)
     out_schema = f"query_id long, rank int, {key} long, score double"
     every = cut(classes(vectors, key, vec, top))
     taken = every.select("vec", F.xxhash64("vec").alias("h")).orderBy("h").limit(sample).toPandas()["vec"]

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import BROADCAST_BYTES, cut, free_name, small_or_not, span_digest, text_or_empty
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
@@ -92,6 +93,7 @@ def paths_of(versions: DataFrame, keys: list[str], text: str = "text") -> DataFr
 
 def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New scans: blob_id, pending (the rules run), spans.  Blobs that every rule version has seen do not come up."""
+    ship(versions.sparkSession)
     every = F.array(*(F.lit(r.kind) for r in rules))
     blobs = versions.select(F.sha2(text_or_empty(text), 256).alias("blob_id"), text_or_empty(text).alias("blob"))
     if ledger is None:

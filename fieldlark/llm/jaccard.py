@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from ..shipping import ship
 from .common import cut, small_or_not, text_or_empty, without
 from .components import components
 from .simhash import SEED, majority, shingle_hashes
@@ -91,6 +92,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
             signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (cls, fps)]
             yield pa.RecordBatch.from_arrays([batch.column(0), signed[0], pa.array(n, pa.int64()), signed[1], _lists(bands)], names=[key, "cls", "n", "fp", "bands"])
 
+    ship(docs.sparkSession)
     fields = [StructField(name, LongType()) for name in ("cls", "n", "fp")]
     schema = StructType([*docs.select(key).schema.fields, *fields, StructField("bands", ArrayType(LongType()))])
     return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(run, schema)

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import PLAIN, cut, text_or_empty
 
 SIZE = 1024
@@ -109,6 +110,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32"])
 
+    ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
     return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..shipping import ship
 from .common import cut, small_or_not, text_or_empty
 
 BITS = 18
@@ -133,6 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """Weights of a model for ``label``; None without labelled rows.  ``labels`` must hold none of the rows held out."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).orderBy(F.xxhash64("__k"), "__k", "__y").limit(max_rows)
     chosen = cut(chosen)
+    ship(docs.sparkSession)
     texts = docs.select(F.col(key).alias("__d"), text_or_empty(text).alias("__t"))
     asked = chosen.select("__k").distinct()
     mine = texts.join(small_or_not(asked, max_rows, 64), F.col("__d") == F.col("__k"), "left_semi").withColumn("__h", F.xxhash64("__t"))
@@ -149,6 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep:
     keep = keep if keep is not None else docs.columns
     sent = keep if text in keep else [*keep, text]
     at = sent.index(text)
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else np.zeros(1 << BITS, np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..shipping import ship
 from .common import cut, text_or_empty, without
 from .components import components
 
@@ -81,6 +82,7 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text", words: in
             fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(batch.num_columns - 1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keys, "fp"])
 
+    ship(docs.sparkSession)
     schema = StructType([*docs.select(*keys).schema.fields, StructField("fp", LongType())])
     return docs.select(*keys, text_or_empty(text).alias("__t")).mapInArrow(run, schema)
 

@@ -28,6 +28,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import PLAIN, text_or_empty
 
 SAMPLE = 4000
@@ -77,6 +78,7 @@ def frequent(docs: DataFrame, text: str, path: str, sample: int = SAMPLE, table:
 
 def count_tokens(docs: DataFrame, keys: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """keys, n_bytes and n_tokens, one row for each row of ``docs``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

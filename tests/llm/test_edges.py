@@ -487,8 +487,8 @@ def test_personal_data_on_random_texts(spark):
     texts = random_texts(parts, 300, 2) + ["1 " * 40_000, "a" * 200_000 + "@", "1." * 50_000, "+" + "(" * 50_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for i, r in by_id(pii.digest(pii.find(df, ["doc_id"]), ["doc_id"])).items():
-        if i < 300:
-            assert r.base_sha256 == sha(base_spans(texts[i], PERSONAL)), texts[i]
+        want = base_spans(texts[i], PERSONAL) if i < 300 else ",".join(f"ip:{8 * k}:{8 * k + 7}" for k in range(12_500)) if i == 302 else ""
+        assert r.base_sha256 == sha(want), texts[i][:200]
 
 
 def test_card_with_a_separator_between_all_digits(spark):
