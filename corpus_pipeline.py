@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from fieldlark.llm import blob_ledger, decontamination, jaccard, packing, quality
 from fieldlark.llm.common import free_name, new_folder, read, shared_folder
-from fieldlark.shipping import ship
 
 
 #: Settings of the session: the folder of a ledger of secrets to go on with (a new one otherwise), and the id of a run to go on with.
@@ -34,7 +33,6 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return jaccard.keep_first(docs)
 
 
@@ -43,13 +41,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     ledger = blob_ledger.run(docs, spark.conf.get(LEDGER, None) or new_folder(spark, "ledger"))
     return blob_ledger.redact(docs, ledger=ledger)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
     return packing.pack_documents(docs)
 
 
