@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import no_punctuation
@@ -35,3 +35,20 @@ def vote_rank(consolidated: DataFrame, answers: DataFrame, keys: list[str], answ
     items = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "pos", "part", "n")))
     text = F.array_join(F.transform(items, lambda s: F.concat(s["part"], F.lit(" ("), s["n"].cast("string"), F.lit(")"))), ", ")
     return ranked.groupBy(*keys).agg(text.alias("ranked"))
+
+
+def smoothed(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.001) -> DataFrame:
+    """key and ``smoothed``, the exponentially weighted mean of a key's values up to its last, and ``n``, how many there are.
+
+    The weights are known from a row's distance to the last, so a sum does it and no list is made.
+    """
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order)))
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).alias("__v"), back.alias("__back"), F.count("*").over(Window.partitionBy(key)).alias("__n"))
+    weight = F.pow(F.lit(1 - alpha), F.col("__back") - 1) * F.when(F.col("__back") == F.col("__n"), F.lit(1.0)).otherwise(F.lit(alpha))
+    return rows.groupBy(key).agg(F.sum(F.col("__v") * weight).alias("smoothed"), F.count("*").alias("n"))
+
+
+def time_left(seconds_each: Column, left: Column) -> Column:
+    """Hours, minutes and seconds, within a day, that so many items will take."""
+    total = F.round(F.greatest(seconds_each * left, F.lit(0.0))).cast("long") % 86400
+    return F.format_string("%02d:%02d:%02d", F.floor(total / 3600), F.floor(total / 60) % 60, total % 60)

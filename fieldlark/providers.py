@@ -57,6 +57,22 @@ def search_links(questions: DataFrame, search: SearchProvider) -> DataFrame:
     return questions.select("question_id", "keyword_phrase").mapInPandas(run, "question_id long, url string, title string")
 
 
+def fetch_pages(links: DataFrame, fetch: Callable[[str], str], longest: int = 2000) -> DataFrame:
+    """(id, url, html, fetch_error) of the links (id, url): the page, or why there is none."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for i, url in zip(part["id"], part["url"]):
+                try:
+                    rows.append((i, url, fetch(url), None))
+                except OSError as e:
+                    rows.append((i, url, None, f"{type(e).__name__}: {e}"[:longest]))
+            yield pd.DataFrame(rows, columns=["id", "url", "html", "fetch_error"])
+
+    return links.select("id", "url").mapInPandas(run, "id long, url string, html string, fetch_error string")
+
+
 def with_retries(call: Callable[[str], Iterable[dict]], tries: int = 5, longest: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> SearchProvider:
     """``call`` again after failures of the network, with waits that double up to ``longest`` and some jitter."""
 

@@ -5,18 +5,21 @@ A sink's query writes to the scratch folder and reads back what it wrote.
 
 from __future__ import annotations
 
+import html
 import io
 import os
 import tempfile
 import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import providers
+from .functions import binary, urls
 from .functions import text as T
-from .functions import urls
-from .operators import catalog, filters, mutate, results, traits
+from .operators import catalog, filters, mutate, ranking, results, traits
 from .plans import extract as X
 from .plans import raster
 from .plans.expr import compose, parse
@@ -258,9 +261,9 @@ _CASCADE = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replac
 @query(f"SELECT page_id, coalesce(nullif({_plain(_ARTICLE)}, ''), nullif({_plain(_PARAGRAPHS)}, ''), {_plain('html')}) AS text FROM ({_CASCADE}) x")
 def main_text(store: Store) -> DataFrame:
     """Pages with an article, with paragraphs only, and with neither."""
-    k, html = F.col("page_id") % 3, F.col("html")
-    section = F.replace(html, F.lit("article"), F.lit("section"))
-    page = F.when(k == 0, html).when(k == 1, section).otherwise(F.replace(section, F.lit("<p"), F.lit("<q")))
+    k, whole = F.col("page_id") % 3, F.col("html")
+    section = F.replace(whole, F.lit("article"), F.lit("section"))
+    page = F.when(k == 0, whole).when(k == 1, section).otherwise(F.replace(section, F.lit("<p"), F.lit("<q")))
     return store.raw("pages").select("page_id", T.extract_text(page, entities=False).alias("text"))
 
 
@@ -375,3 +378,60 @@ def source_menu(store: Store) -> DataFrame:
 def yearly_max_near(store: Store) -> DataFrame:
     """The mean of the yearly maximum over three years."""
     return _rounded(raster.yearly_then_mean(_pixels(store), around=1))
+
+
+# -- what stands beside the pipeline -----------------------------------------------------
+
+
+@query("""SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda a, x: 0.001 * x + 0.999 * a), 6) AS smoothed FROM events WHERE value IS NOT NULL GROUP BY user_id""")
+def smoothed_times(store: Store) -> DataFrame:
+    return _rounded(ranking.smoothed(store.raw("events"), "user_id", ["ts", "event_id"], "value"), "smoothed")
+
+
+@query("""SELECT c_custkey, lpad(CAST(s // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') AS eta FROM (SELECT c_custkey, c_custkey * 5 % 86400 AS s FROM customer) x""")
+def time_left(store: Store) -> DataFrame:
+    return store.raw("customer").select("c_custkey", ranking.time_left(F.lit(2.5), F.col("c_custkey") * 2).alias("eta"))
+
+
+def _fake_fetch(url: str) -> str:
+    if url.endswith("3"):
+        raise ConnectionError("refused by " + url)
+    return f"<html>{url}</html>"
+
+
+@query("""SELECT id, url, CASE WHEN NOT ends_with(url, '3') THEN '<html>' || url || '</html>' END AS html, CASE WHEN ends_with(url, '3') THEN 'ConnectionError: refused by ' || url END AS fetch_error FROM v_links""")
+def fetched_pages(store: Store) -> DataFrame:
+    """The links through a fetcher that fails on some."""
+    return providers.fetch_pages(store.links, _fake_fetch)
+
+
+@F.pandas_udf(BinaryType())
+def _as_word(text: pd.Series) -> pd.Series:
+    """Texts as Word documents, a paragraph for each line."""
+
+    def one(t: str) -> bytes:
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        lines = "".join(f'<w:p xmlns:w="{space}"><w:r><w:t>{html.escape(x[: len(x) // 2])}</w:t></w:r><w:r><w:t>{html.escape(x[len(x) // 2 :])}</w:t></w:r></w:p>' for x in t.split("\n"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{lines}</w:body></w:document>')
+        return out.getvalue()
+
+    return text.map(one, na_action="ignore")
+
+
+@query(f"SELECT * FROM ({ORACLES['valid_words']}) x")
+def document_words(store: Store) -> DataFrame:
+    """Half of the documents as Word files, half as raw bytes, some of them no UTF-8 at their end."""
+    d = store.raw("documents").where("text is not null")
+    plain = F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    data = F.when(F.col("doc_id") % 2 == 0, _as_word(plain)).when(F.col("doc_id") % 3 == 0, F.concat(F.col("text").cast("binary"), F.lit(b" \xff\xfe"))).otherwise(F.col("text").cast("binary"))
+    words = d.select("doc_id", binary.document_text(data).alias("words"))
+    return words.union(store.raw("documents").where("text is null").select("doc_id", F.lit("")))
+
+
+@query(f"""SELECT section || '.js' AS file, 'var years = [' || array_to_string(list_transform(valid_years, lambda y: chr(39) || y || chr(39)), ', ') || ']; show("' || dataset || '", "' || dataset || '", "' || band || '", false);' || chr(10) || dataset || chr(10) || section || '.js' || chr(10) AS script
+FROM ({ORACLES['dataset_catalog']}) x""")
+def viewer_scripts(store: Store) -> DataFrame:
+    template = 'var years = $VALID_YEARS$; show("$DATASET_NAME$", "$DATASET_ID$", "$BAND_ID$", $IMAGE_ONLY$);'
+    return datasets.catalog(store.spark).select(*datasets.viewer_script(template))

@@ -10,6 +10,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_filename
+
 #: Shipped definitions (fixed values, but for the first dataset, a substitute for a private upload): name, dataset, band, first and last year or the years
 #: listed, how images are chosen, cultivated and natural codes (pairs are inclusive), season.
 CATALOG = (
@@ -65,6 +67,17 @@ def read_definitions(spark: SparkSession, texts: Iterable[str]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def viewer_script(template: str, name: Column | None = None, image_only: bool = False) -> list[Column]:
+    """file and script of each definition: the template with its placeholders replaced, and the names below it."""
+    years = F.concat(F.lit("["), F.array_join(F.transform("valid_years", lambda y: F.concat(F.lit("'"), y.cast("string"), F.lit("'"))), ", "), F.lit("]"))
+    title = F.coalesce(name, F.col("dataset")) if name is not None else F.col("dataset")
+    script = F.lit(template)
+    for key, value in (("VALID_YEARS", years), ("DATASET_NAME", title), ("DATASET_ID", F.col("dataset")), ("BAND_ID", F.col("band")), ("IMAGE_ONLY", F.lit(str(image_only).lower()))):
+        script = F.replace(script, F.lit(f"${key}$"), value)
+    file = safe_filename(F.concat("section", F.lit(".js")))
+    return [file.alias("file"), F.concat(script, F.lit("\n"), title, F.lit("\n"), "section", F.lit(".js\n")).alias("script")]
+
+
 def matches(code: Column, codes: Iterable[int | tuple[int, int] | list[int]]) -> Column:
     """Whether a code is one of the numbers or within one of the inclusive pairs."""
     out = F.lit(False)

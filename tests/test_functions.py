@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldlark.functions import text as T
-from fieldlark.functions import urls
+from fieldlark.functions import binary, urls
 from fieldlark.functions.replies import UNREADABLE, first_object, repair
 from fieldlark.functions.windows import windows_column
 from fieldlark.operators.traits import expand_templates, get_or_create, new_contents, parse_expanded, snippet, upsert_links
@@ -198,3 +198,20 @@ def test_retries(spark):
         return [{"url": f"http://{k}", "title": None}]
 
     assert [tuple(r) for r in search_links(asked, search).collect()] == [(1, "http://a", None)]
+
+
+def test_binary_documents():
+    def pdf(data):
+        return {b"long": ["x"] * 3, b"blank": ["", " "], b"two": [" a ", "b"]}[data]
+
+    read = binary.paged_reader(pdf)
+    assert [read(d, 2) for d in (b"long", b"blank", b"two", b"bad")] == ["[[PDF_SKIPPED_TOO_LONG:3]]", "[[PDF_EMPTY_TEXT]]", "a\n\nb", "[[PDF_PARSE_ERROR]]"]
+    assert binary.read_first(b"plain \xff text", [binary.word_text]) == "plain  text"
+
+
+def test_main_text(spark):
+    link = '<p><a href="x">' + "go " * 30 + "</a></p>"
+    good = "<p>" + "words " * 10 + "</p>"
+    pages = [f"<nav>n</nav>{link}<article><p>a</p></article>", f"<nav>n</nav>{link}{good}<main></main>", f"<nav>n</nav>{link}", None, ""]
+    got = [one(spark, T.extract_text(F.col("t"), entities=False), t=p) for p in pages]
+    assert got[:2] == ["a", ("words " * 10).strip()] and "go go" in got[2] and got[3:] == [None, ""]
