@@ -4,8 +4,8 @@ A vector is the sum of one codeword from each of ``BOOKS`` codebooks, which all
 full dimension.  Codebooks start as k-means of the residuals of a bounded sample and are
 then refined together by least squares; codes come from a beam search.  The index
 holds codes and the norm of each sum.  Queries come in blocks of bounded size: tables of
-inner products are looked up by code for every vector, each task keeps the best
-``RERANK`` for each query, and the best of all are ranked exactly, in double
+inner products are looked up by code for every vector, each task returns one list for each query with its
+best ``RERANK``, and the best of all lists are ranked exactly, in double
 precision, on the original vectors.
 
 Equal vectors are one class with its smallest ids, as many as a result can hold, so a
@@ -44,6 +44,8 @@ SAMPLE = 8192
 BEAM = 4
 RERANK = 256
 BLOCK = 2048
+#: Groups of tasks whose lists are merged first.
+MERGES = 64
 TOP = 10
 
 
@@ -163,8 +165,9 @@ def _searcher(books, block, rerank: int):
                         kept[lo : lo + 256] = np.concatenate([kept[lo : lo + 256], np.broadcast_to(new, (len(t), len(cid)))], 1)[rows, take]
                     best[lo : lo + 256] = every[rows, take]
         fine = np.isfinite(best)
-        row = np.nonzero(fine)[0].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(ids[fine]), pa.array(nths[fine]), pa.array(best[fine])], names=["q", "cid", "nth", "approx"])
+        offsets = np.concatenate([[0], np.cumsum(fine.sum(1))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(best[fine]), pa.array(ids[fine]), pa.array(nths[fine])], names=["approx", "cid", "nth"]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q), dtype=np.int32)), lists], names=["q", "best"])
 
     return run
 
@@ -187,9 +190,11 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str
     while rows := list(islice(stream, block)):
         ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
         shared = spark.sparkContext.broadcast(q)
-        near = codes.mapInArrow(_searcher(books, shared, rerank), "q int, cid long, nth int, approx float")
-        first = Window.partitionBy("q").orderBy("approx", "cid", "nth")
-        chosen = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= rerank).select("q", "cid", "nth")
+        near = codes.mapInArrow(_searcher(books, shared, rerank), "q int, best array<struct<approx:float,cid:long,nth:int>>")
+        # a list from each task; merged in two steps, so that no merge meets all tasks' lists
+        merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, rerank).alias("best")
+        some = near.groupBy("q", F.pmod(F.spark_partition_id(), F.lit(MERGES)).alias("m")).agg(merged)
+        chosen = some.groupBy("q").agg(merged).select("q", F.inline("best")).select("q", "cid", "nth")
         # BLOCK times RERANK rows of three numbers: bounded by parameters
         pairs = every.join(F.broadcast(chosen), ["cid", "nth"]).select("q", "ids", F.col("vec").cast("array<double>").alias("vec"))
         _exact(pairs, spark.sparkContext.broadcast((ids, q)), top).withColumn("block", F.lit(blocks)).write.parquet(f"{folder}/{blocks}")
