@@ -224,8 +224,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = components(links(docs, found, key, text))
     nodes = found.groupBy("cls").agg(F.min(key).alias("least"))
     of = cut(nodes.join(roots, nodes["cls"] == roots["node"], "left").select("cls", "least", F.coalesce("root", "cls").alias("root")))
-    named = of.join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    return found.select(key, "cls").join(named, "cls").select(key, "component_id")
+    # a root or a class may hold a third of all rows, so these joins leave rows where they are as long as they can
+    n = of.count()
+    smallest = of.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(of.join(small_or_not(smallest, n, 48), "root").select("cls", "component_id"))
+    return found.select(key, "cls").join(small_or_not(named, n, 48), "cls").select(key, "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
