@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import BROADCAST_BYTES, cut, free_name, small_or_not, span_digest, text_or_empty
+from .common import BROADCAST_BYTES, cut, free_name, lean, small_or_not, span_digest, text_or_empty
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob_id string, rule string, version int, spans {SPANS}"
@@ -108,7 +108,7 @@ def scan_unseen(versions: DataFrame, text: str = "text", ledger: DataFrame | Non
             blobs = blobs.join(F.broadcast(unseen), "blob_id").dropDuplicates(["blob_id"])
         else:  # copies are merged before the shuffle, and the join needs no other
             blobs = blobs.dropDuplicates(["blob_id"]).join(unseen, "blob_id")
-    return blobs.select("blob_id", "blob", "pending").mapInArrow(_scanner(rules), f"blob_id string, pending array<string>, spans {SPANS}")
+    return blobs.select("blob_id", "blob", "pending").mapInArrow(lean(_scanner(rules)), f"blob_id string, pending array<string>, spans {SPANS}")
 
 
 def ledger_rows(scans: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

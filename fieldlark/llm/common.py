@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +82,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function of batches, that gives a worker's free memory back to the system after each task: workers live on, and what a task of one stage took would add to what the next needs."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def span_digest(spans: Column) -> Column:
     """``kind:start:end`` of an array of structs, comma-joined in the order given."""
     return F.array_join(

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..shipping import ship
-from .common import cut, small_or_not, text_or_empty, without
+from .common import cut, lean, small_or_not, text_or_empty, without
 from .components import components
 from .simhash import SEED, majority, shingle_hashes
 from .simhash import links as near_fingerprints
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     ship(docs.sparkSession)
     fields = [StructField(name, LongType()) for name in ("cls", "n", "fp")]
     schema = StructType([*docs.select(key).schema.fields, *fields, StructField("bands", ArrayType(LongType()))])
-    return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(run, schema)
+    return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(lean(run), schema)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +115,7 @@ def sets_of(classes: DataFrame, docs: DataFrame, reps: DataFrame, key: str, text
     keys = cut(needed)
     texts = docs.select(key, text_or_empty(text).alias("__t"))
     some = texts.join(small_or_not(keys, keys.count(), 64), F.col(key).eqNullSafe(F.col("least")), "left_semi")
-    return some.select("__t").mapInArrow(_sets, "cls long, hashes array<long>").dropDuplicates(["cls"]).join(classes, "cls", "left_semi")
+    return some.select("__t").mapInArrow(lean(_sets), "cls long, hashes array<long>").dropDuplicates(["cls"]).join(classes, "cls", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def across(of: DataFrame, sets: DataFrame) -> DataFrame:
     rest = left.where("root <> most").select("pivot", own.alias("rc"), F.explode(F.sequence(F.lit(0), F.col("mcs") - 1)).alias("mc"), F.lit(0).alias("side"), "cls", "root", "hashes")
     members = left.select("pivot", F.explode(F.sequence(F.lit(0), F.col("rcs") - 1)).alias("rc"), mine.alias("mc"), F.lit(1).alias("side"), "cls", "root", "hashes")
     block = ["pivot", "rc", "mc"]  # two chunks at most
-    return rest.union(members).repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks, "a long, b long")
+    return rest.union(members).repartition(*block).sortWithinPartitions(*block).mapInArrow(lean(_blocks), "a long, b long")
 
 
 def links(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import PLAIN, cut, text_or_empty
+from .common import PLAIN, cut, lean, text_or_empty
 
 SIZE = 1024
 END = 2
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
 
     ship(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
-    return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text_or_empty(text).alias("__t")).mapInArrow(lean(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:

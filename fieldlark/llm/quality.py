@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..shipping import ship
-from .common import cut, small_or_not, text_or_empty
+from .common import cut, lean, small_or_not, text_or_empty
 
 BITS = 18
 MASK = np.uint32((1 << BITS) - 1)
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     one = mine.groupBy("__d").agg(F.min(F.struct("__h", "__t"))["__t"].alias("__t"))
     rows = one.join(small_or_not(chosen, max_rows, 64), F.col("__d") == F.col("__k"))
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("__k"), "__k", "__y")
-    got = ordered.select("__t", "__y").mapInArrow(_trainer(max_features), "weights binary").collect()
+    got = ordered.select("__t", "__y").mapInArrow(lean(_trainer(max_features)), "weights binary").collect()
     return np.frombuffer(bytes(got[0][0]), np.float32) if got else None
 
 
@@ -165,7 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray | None, text: str = "text", keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, out])
 
     schema = StructType([*docs.select(*keep).schema.fields, StructField(out, DoubleType())])
-    return docs.select(*sent).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(lean(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
