@@ -57,15 +57,11 @@ def windows_column(text: Column, phrase: Column, buffer: int = BUFFER, separatio
     order, and so do both ends of what they grow to; so snippets that overlap or lie no more than ``separation``
     apart become one wherever the gap between neighbours is that small.
     """
-    size = F.char_length(text)
-
-    def grown(p: Column) -> Column:
+    def grown(p: Column, size: Column) -> Column:
         start, end = F.greatest(p["start"] - buffer, F.lit(0)), F.least(p["end"] + buffer, size)
         return F.struct(_back(text, start).alias("start"), F.when(end < size, _forth(text, end, size)).otherwise(size).alias("end"))
 
-    spans = F.transform(places(text, phrase_pattern(phrase)), grown)
-
-    def cut(all_: Column) -> Column:
+    def cut(all_: Column, size: Column) -> Column:
         n = F.size(all_)
         order = F.sequence(F.lit(1), n)
 
@@ -82,8 +78,12 @@ def windows_column(text: Column, phrase: Column, buffer: int = BUFFER, separatio
 
         return F.when(n > 0, F.zip_with(first, last, snippet))
 
-    # a one-element list binds the spans, so that they are computed once
-    found = F.transform(F.array(spans), cut)[0]
+    # lists of one element bind the size and the spans, so that they are computed once
+    def whole(size: Column) -> Column:
+        spans = F.transform(places(text, phrase_pattern(phrase)), lambda p: grown(p, size))
+        return F.transform(F.array(spans), lambda all_: cut(all_, size))[0]
+
+    found = F.transform(F.array(F.char_length(text)), whole)[0]
     found = F.coalesce(found, F.array().cast("array<string>"))
     return found if limit is None else F.slice(found, 1, limit)
 

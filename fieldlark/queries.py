@@ -480,7 +480,8 @@ _FIRST_WORD = _windows_sql(f"(SELECT doc_id, {_NORM} AS norm FROM documents)", "
 @query(f"WITH {_FIRST_WORD} SELECT doc_id, context FROM windows")
 def context_windows(store: Store) -> DataFrame:
     d = store.raw("documents").select("doc_id", T.one_line(F.col("text")).alias("norm"))
-    return d.select("doc_id", F.explode(windows_column(F.col("norm"), F.element_at(F.split("norm", " "), 1), 200)).alias("context"))
+    # the outer form: the other has a filter that would find all windows once more
+    return d.select("doc_id", F.explode_outer(windows_column(F.col("norm"), F.element_at(F.split("norm", " "), 1), 200)).alias("context")).where("context is not null")
 
 
 @query(f"WITH {_FIRST_WORD} SELECT doc_id, context FROM windows WHERE island = 1")
