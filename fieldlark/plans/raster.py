@@ -273,10 +273,18 @@ def first_image(pixels: DataFrame) -> DataFrame:
 
 
 def focal_mean(values: DataFrame, locations: DataFrame, radius_m: float) -> DataFrame:
-    """Mean of the values (pixel_id, value) of all pixels within the radius of each pixel."""
-    points = locations.select(F.col("pixel_id").alias("row_id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
-    pairs = within_radius(points, locations, radius_m)
-    return pairs.join(values, "pixel_id").groupBy(F.col("row_id").alias("pixel_id")).agg(F.avg("value").alias("value"))
+    """Mean of the values (pixel_id, value) of all pixels within the radius of each pixel.
+
+    Pixels at one place share one circle and enter others as one sum and count: the pairs are those of
+    places, and they are added up where they arise instead of being dealt out.
+    """
+    sums = locations.join(values, "pixel_id").groupBy("lat", "lon").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    places = locations.select("lat", "lon").distinct()
+    points = places.select(F.struct("lat", "lon").alias("row_id"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+    pairs = within_radius(points, sums.select(F.struct("total", "n").alias("pixel_id"), "lat", "lon"), radius_m)
+    around = pairs.groupBy("row_id").agg(F.sum("pixel_id.total").alias("total"), F.sum("pixel_id.n").alias("n"))
+    mine = locations.join(around.select("row_id.lat", "row_id.lon", "total", "n"), ["lat", "lon"])
+    return mine.groupBy("pixel_id").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("value"))
 
 
 def clamp_year(year: Column, first: int = 2016, last: int = 2023) -> Column:

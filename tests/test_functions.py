@@ -164,6 +164,21 @@ def test_radius_join_equals_all_pairs(spark):
         assert got == {tuple(r) for r in every.select("row_id", "pixel_id").collect()}
 
 
+def test_focal_mean_pairs_places(spark, monkeypatch):
+    rng = random.Random(4)
+    places = [(10.0, 20.0), (10.0, 20.5), (-0.0, 179.99), (0.0, -179.99), (60.0, 0.0)]
+    pts = [(i, *places[i % 5]) for i in range(400)] + [(400, None, 1.0)]
+    values = [(i, None if i % 7 == 0 or i % 5 == 4 else rng.random()) for i in range(401) if i % 3]
+    locations, known = spark.createDataFrame(pts, "pixel_id long, lat double, lon double"), spark.createDataFrame(values, "pixel_id long, value double")
+    pairs, join = [], raster.within_radius
+    monkeypatch.setattr(raster, "within_radius", lambda *a: pairs.append(join(*a)) or pairs[-1])
+    got = {r.pixel_id: r.value for r in raster.focal_mean(known, locations, 100_000.0).collect()}
+    near = {0: (0, 1), 1: (0, 1), 2: (2, 3), 3: (2, 3), 4: (4,)}
+    means = {k: [v for i, v in values if v is not None and i < 400 and i % 5 in p] for k, p in near.items()}
+    assert set(got) == set(range(400)) and all(got[i] == (pytest.approx(sum(m) / len(m)) if (m := means[i % 5]) else None) for i in got)
+    assert pairs[0].count() == 9  # of places, however many pixels are there
+
+
 def test_mask_classes(spark):
     rows = spark.createDataFrame([(211,), (244,), (311,), (500,)], "c int").select(datasets.mask_class(F.col("c"), "corine")).collect()
     assert [r[0] for r in rows] == ["cultivated", "cultivated", "natural", None]
