@@ -82,8 +82,8 @@ def _band(pixels: DataFrame, dataset: str, band: str) -> DataFrame:
 
 
 def located(points: DataFrame, locations: DataFrame) -> DataFrame:
-    """``points`` (row_id, latitude, longitude, year) with the pixel at the point itself, or null."""
-    at = locations.select("pixel_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).dropDuplicates(["latitude", "longitude"])
+    """``points`` (latitude, longitude and others) with the pixel at the point itself, the one of the smallest id if several are there, or null."""
+    at = locations.groupBy(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).agg(F.min("pixel_id").alias("pixel_id"))
     return points.join(at, ["latitude", "longitude"], "left")
 
 
@@ -103,11 +103,13 @@ def extract(points: DataFrame, pixels: DataFrame, locations: DataFrame, wanted:
     form refuses is refused here too.
 
     Extractions of one dataset, band, expression, mask and years share one pass over its pixels, whatever their
-    transforms; a land-cover table is one pass.  All columns meet the points in one join.
+    transforms; a land-cover table is one pass.  Points of one place and year share one request, and all
+    columns meet the points in one join.
     """
     if form:
         check_form(points, wanted)
-    requests = located(points.select("row_id", "latitude", "longitude", "year"), locations)
+    asked = F.struct("latitude", "longitude", "year")
+    requests = located(points.select("latitude", "longitude", "year").distinct(), locations).withColumn("row_id", asked)
     names: list[str] = []
     texts: set[int] = set()
     passes: dict[tuple, list[tuple[int, str | None]]] = {}
@@ -128,11 +130,10 @@ def extract(points: DataFrame, pixels: DataFrame, locations: DataFrame, wanted:
             mask = raster.mode_mask(codes, requests, span, masked[2])
         values = {f"__{i}": raster.transformed(F.col("value"), parse_transform(transform)) for i, transform in columns}
         got = raster.evaluate_columns(requests, _band(pixels, dataset, band), steps, values, mask, locations)
-        got = got.join(requests.select("row_id", "year"), "row_id") if years else got.withColumn("year", F.lit(None).cast("int"))
 
         def cell(i: int, years: tuple[int, int] | None = years, span: tuple[int, int] = span) -> Column:
             number = F.col(f"__{i}").cast("double")
-            text = raster.outside_guard(F.col("year"), number, span, *years) if years else F.lit(None).cast("string")
+            text = raster.outside_guard(F.col("row_id.year"), number, span, *years) if years else F.lit(None).cast("string")
             return F.struct(F.lit(i).alias("slot"), number.alias("number"), text.alias("text"))
 
         long = got.select("row_id", F.inline(F.array(*(cell(i) for i, _ in columns))))
@@ -140,5 +141,5 @@ def extract(points: DataFrame, pixels: DataFrame, locations: DataFrame, wanted:
     if rows is None:
         return points
     wide = rows.groupBy("row_id").agg(*(F.max(F.when(F.col("slot") == i, F.col("text" if i in texts else "number"))).alias(f"__{i}") for i in range(len(names))))
-    joined = points.join(wide, "row_id", "left")
+    joined = points.withColumn("__asked", asked).join(wide.withColumnRenamed("row_id", "__asked"), "__asked", "left")
     return joined.select(*points.columns, *(F.col(f"__{i}").alias(name) for i, name in enumerate(names)))

@@ -70,6 +70,18 @@ def test_extract(spark):
     assert masked["D:b_years_mean(0,0)"] == 13.5
 
 
+def test_extract_takes_the_smallest_pixel_of_a_place(spark):
+    """Several pixels at one place: always the same, whatever the order of the locations; points of one place and year share it."""
+    px = [("D", "b", "2001-03-01 00:00:00", p, float(p)) for p in range(40)]
+    pixels = spark.createDataFrame(px, "dataset_id string, band string, ts string, pixel_id long, value double").selectExpr("dataset_id", "band", "timestamp(ts) AS ts", "pixel_id", "value")
+    points = [(i, (0.0, 5.0, None)[i % 3], 0.0, 2001) for i in range(9)]
+    for order in (1, -1):
+        places = spark.createDataFrame([(p, 0.0, 0.0) for p in range(3, 40)][::order], "pixel_id long, lat double, lon double")
+        got = extract(spark.createDataFrame(points, "row_id long, latitude double, longitude double, year int"), pixels, places, [Extraction("D", "b", "years_mean(0,0)"), Extraction("D", "b", "years_mean(0,0)", "mult[2]", years=(2005, 2006))], cli=True)
+        rows = {r[0]: tuple(r[4:]) for r in got.collect()}
+        assert rows == {i: (3.0 if i % 3 == 0 else None, "Outside 2005-2006: (2001, 2002)") for i in range(9)}
+
+
 def test_form(spark):
     one = spark.range(1)
     check_form(one, [Extraction("ECMWF/ERA5/MONTHLY", "total_precipitation", "spatial_max(100;years_mean(0,0))", mask=("GOOGLE/DYNAMICWORLD/V1", "label", (1.0,)))])
