@@ -89,9 +89,15 @@ def windows_column(text: Column, phrase: Column, buffer: int = BUFFER, separatio
 
 
 def merge_intervals(spans: DataFrame, key: str, separation: int = SEPARATION) -> DataFrame:
-    """key, start, end of the islands of (key, start, end): gaps of ``separation`` or less close."""
+    """key, start, end of the islands of (key, start, end): gaps of ``separation`` or less close.
+
+    Islands are counted along the row numbers of the pass that finds where they begin; ordered by start and
+    end anew, equal spans could come in another order and leave the first of them behind its copies.
+    """
     order = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("start") - reach <= separation, 0).otherwise(1)
-    islands = spans.withColumn("__new", fresh).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = spans.select(key, "start", "end", F.row_number().over(order).alias("__at"), fresh.alias("__new"))
+    along = Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    islands = marked.withColumn("__island", F.sum("__new").over(along))
     return islands.groupBy(key, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")

@@ -1,16 +1,18 @@
 import json
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldlark.functions import text as T
-from fieldlark.functions import binary, urls
+from fieldlark.functions import binary, urls, windows
 from fieldlark.functions.replies import UNREADABLE, first_object, repair
-from fieldlark.functions.windows import windows_column
+from fieldlark.functions.windows import merge_intervals, windows_column
 from fieldlark.operators.traits import expand_templates, get_or_create, new_contents, parse_expanded, snippet, upsert_links
 from fieldlark.plans import raster
 from fieldlark.providers import PagedSearch, search_links, with_retries
@@ -101,6 +103,34 @@ def test_context_windows_equal_brute_force(spark):
         assert all(got[i] == brute_windows(t, "can FLY", buffer, separation) for i, t in enumerate(texts))
 
 
+def brute_islands(spans, separation):
+    out = {}
+    for key, start, end in sorted(spans):
+        found = out.setdefault(key, [])
+        if found and start - found[-1][1] <= separation:
+            found[-1][1] = max(end, found[-1][1])
+        else:
+            found.append([start, end])
+    return sorted((key, *span) for key, found in out.items() for span in found)
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_merge_intervals_whatever_the_order_of_ties(spark, monkeypatch, loose):
+    rng = random.Random(3)
+    spans = [(rng.randrange(20), start, start + rng.choice([0, 10, 40])) for start in (rng.randrange(2000) for _ in range(400))] * 6
+    if loose:  # each window orders ties for itself
+        by = lambda key: SimpleNamespace(orderBy=lambda *columns: Window.partitionBy(key).orderBy(*columns, F.rand(5)))
+        monkeypatch.setattr(windows, "Window", SimpleNamespace(partitionBy=by, unboundedPreceding=Window.unboundedPreceding))
+    got = merge_intervals(spark.createDataFrame(spans, "k long, start long, end long"), "k", 20)
+    assert sorted(map(tuple, got.collect())) == brute_islands(spans, 20)
+
+
+def test_merge_intervals_without_bounds(spark):
+    spans = [(1, None, None)] * 3 + [(1, 5, 9)] * 2 + [(None, 5, 9), (None, 30, 40)]
+    got = merge_intervals(spark.createDataFrame(spans, "k long, start long, end long"), "k", 20)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(["(1, None, None)"] * 3 + ["(1, 5, 9)", "(None, 5, 9)", "(None, 30, 40)"])
+
+
 @pytest.mark.parametrize("text,want", [('{"a": 1}', {"a": 1}), ('```json\n{"a": 1}\n```', {"a": 1}), ("{“a”: “b”}", {"a": "b"}), ('{"a": "\\q"}', {"a": "\\q"}), ('{"a": "x\ny"}', {"a": "x y"}), ("hopeless", None)])
 def test_repair(text, want):
     got = repair(text)
